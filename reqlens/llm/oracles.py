@@ -51,9 +51,9 @@ OP10 = r"""
 WITH e AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x != 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
 d AS (
-  SELECT q.vec_id AS query_id, c.vec_id, min(sqrt(list_reduce(list_transform(list_zip(q.v, c.v), z -> (z[1] - z[2]) * (z[1] - z[2])), (a, b) -> a + b))) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, min(sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b))) AS score
   FROM e q JOIN e c ON q.vec_id != c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
 o AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d)
 SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 10
