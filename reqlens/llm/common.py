@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD_PATTERN)
 
-#: Bits of a Bloom filter, and so the bytes that it puts on every executor: 2**26 bits are 8 MB, whatever the input.
-BLOOM_BITS = 26
+#: Bits of a Bloom filter, and so the bytes that it puts on every executor: 2**28 bits are 32 MB, whatever the input.
+BLOOM_BITS = 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,24 +67,59 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for the words seen lately (at most `most`)."""
+    """64-bit hashes of words as bytes, kept for the words seen lately (at most `most`)."""
 
-    def __init__(self, most: int = 400_000, fold: bool = False):
+    def __init__(self, most: int = 400_000):
         super().__init__()
-        self.most, self.fold = most, fold
+        self.most = most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= self.most:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One store for each Python worker.
+WORD_HASHES = WordHashes()
+
+
+def byte_words(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8: bytes are split at ASCII white space only."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n words, from the words' hashes; runs of equal words have equal hashes."""
+    with np.errstate(over="ignore"):
+        base, width, power = np.uint64(0x9E3779B97F4A7C15), 1, hashes
+        out, have = None, 0
+        while True:
+            if n & width:
+                shifted = power[have : len(power)]
+                out = power if out is None else out[: len(shifted)] * base ** np.uint64(width) + shifted[: len(out)]
+                have += width
+            if have == n:
+                return mix64(out[: max(0, len(hashes) - n + 1)])
+            power = power[:-width] * base ** np.uint64(width) + power[width:] if len(power) > width else power[:0]
+            width *= 2
+
+
+def spread(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which Spark may split the rows of a hot key over tasks.
+
+    Adaptive execution splits a skewed partition only if the join's own exchange dealt it out. An aggregate keyed as the
+    join is leaves its rows dealt out already; joining on one more key, a hash of the others, makes Spark deal both anew.
+    """
+    key = F.xxhash64(*on, F.lit(1)).alias("__key")
+    return left.select("*", key).join(right.select("*", key), [*on, "__key"], how).drop("__key")
+
+
 def bloom(keys: DataFrame, key: str, bits: int = BLOOM_BITS) -> np.ndarray:
     """A filter of 2**bits bits over a long column. It never misses a key; the more keys, the more others it lets through.
 

@@ -82,28 +82,58 @@ def thresholds(rows: DataFrame, needs: DataFrame, source_col: str = "source", le
     return state.select(source_col, F.col("prefix").alias("threshold"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """How often a mix takes each row: id_col, size (words, null text: 0), source_size, target, copies and taken = size * copies.
+#: Sources that are joined by broadcast at most: a row takes some 100 bytes, so that 1 MB is the bound.
+BROADCAST_SOURCES = 10_000
+
+
+def mix_plan(rows: DataFrame, source_col: str, weights: tuple[float, ...], share: float, repeats: int) -> DataFrame:
+    """One row a source: __source, source_size, target, whole (times that every row is taken), threshold (of hashes taken once more)."""
+    targets = cut(source_targets(rows, source_col, weights, share, repeats))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    plan = targets.withColumn("whole", whole.cast("int")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+    bounds = thresholds(rows, plan, source_col).select(F.col(source_col).alias("__b"), "threshold")
+    plan = plan.join(bounds, F.col(source_col).eqNullSafe(F.col("__b")))
+    return cut(plan.select(F.col(source_col).alias("__source"), "source_size", "target", "whole", "threshold"))
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame, source_col: str, repeats: int) -> DataFrame:
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    copies = F.col("whole") + ((F.col("hash") < F.col("threshold")) & (F.col("whole") < repeats)).cast("int")
+    return rows.join(plan, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("copies", copies)
+
+
+def _measured(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> dict:
+    return {"size": words_column(F.col(text_col)), "hash": row_hash(id_col, source_col, text_col)}
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """How often a mix takes each row: id_col, source_col, size (words, null text: 0), source_size, target, copies and taken = size * copies.
 
     Sources whose target is a whole number of times their size take every row as often; of the others, the rows below
     the hash threshold once more. Hashes depend on the rows alone, so reruns agree. Null sources are one source, in the
     last place. Rows with equal id, source and text are taken together; repeated and null ids, empty texts (size 0) and
-    an empty table are fine. `keep` names further columns of docs to return; others are not read.
+    an empty table are fine; extra columns are not read.
 
     Texts are read once: what is kept of a row (id, source, size, hash) is cut into the shared checkpoint folder. A
-    source may hold any share of the rows: sums are combined before the shuffle and sources join by broadcast only if
-    Spark measures them to be small. No row is sorted.
+    source may hold any share of the rows: sums are combined before the shuffle, and the sources are broadcast only
+    after a count has shown that they are few. No row is sorted.
     """
-    rows = cut(docs.select(id_col, source_col, *keep, words_column(F.col(text_col)).alias("size"), row_hash(id_col, source_col, text_col).alias("hash")))
-    targets = cut(source_targets(rows, source_col, weights, share, repeats))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    plan = targets.withColumn("whole", whole.cast("int")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    bounds = thresholds(rows, plan, source_col)
-    plan = plan.join(bounds.withColumnRenamed(source_col, "__b"), F.col(source_col).eqNullSafe(F.col("__b"))).select(
-        F.col(source_col).alias("__source"), "source_size", "target", "whole", "threshold"
-    )
-    plan = cut(plan)
-    copies = F.col("whole") + (F.col("hash") < F.col("threshold")).cast("int") * (F.col("whole") < repeats).cast("int")
-    return rows.join(plan, F.col(source_col).eqNullSafe(F.col("__source"))).select(
-        id_col, *([source_col] if source_col in keep else []), *[c for c in keep if c != source_col], "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
-    )
+    measured = _measured(docs, id_col, source_col, text_col)
+    rows = cut(docs.select(id_col, source_col, *(v.alias(k) for k, v in measured.items())))
+    plan = mix_plan(rows, source_col, weights, share, repeats)
+    return _with_copies(rows, plan, source_col, repeats).select(id_col, source_col, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """The rows of the mix of `mix_sources`, with all columns of docs, each as often as the mix takes it.
+
+    Names of docs' columns must not start with two underscores. The texts are not shuffled: a second read meets the thresholds.
+    """
+    measured = _measured(docs, id_col, source_col, text_col)
+    rows = cut(docs.select(id_col, source_col, *(v.alias(k) for k, v in measured.items())))
+    plan = mix_plan(rows, source_col, weights, share, repeats)
+    names = [F.col(c).alias(f"__doc_{c}") for c in docs.columns]
+    carried = docs.select(*names, F.col(source_col), *(v.alias(k) for k, v in measured.items()))
+    taken = _with_copies(carried, plan, source_col, repeats).where("copies > 0")
+    return taken.select(*(f"__doc_{c}" for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select(*(F.col(f"__doc_{c}").alias(c) for c in docs.columns))

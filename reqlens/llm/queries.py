@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reqlens.llm import ann, bpe, mixing, sharding, urlfilter
+from reqlens.llm import ann, bpe, html, jaccard, mixing, pu, quality, sharding, substring, urlfilter
 from reqlens.llm.common import table
 
 
@@ -21,10 +21,31 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu.pu_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.remove_duplicate_spans(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), gram=3, similar=(90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 def capture_day(page_id):
     """The tables hold no fetch dates: captures are dated by their id, over a year."""
     return F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(page_id, F.lit(366)).cast("int"))
@@ -66,11 +87,8 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_bpe": op1_bpe,
-    "op2_mixing": op2_mixing,
-    "op7_sharding": op7_sharding,
-    "op9_url_filters": op9_url_filters,
-    "op10_nearest": op10_nearest,
+    f.__name__: f
+    for f in (op1_bpe, op2_mixing, op3_quality_rules, op4_pu_quality, op5_html_text, op6_substring_dedup, op7_sharding, op8_ngram_jaccard, op9_url_filters, op10_nearest)
 }
 
 from reqlens.llm.oracles import ORACLES as ORACLE_SQL  # noqa: E402, F401
