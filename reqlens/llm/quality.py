@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from reqlens.llm.common import WORD_RE, ship
 
-#: Hashed n-grams: buckets, and the weight that smooths both multinomials (counts of the raw corpus's shape).
-BUCKET_BITS, SMOOTH = 16, 1.0
+#: Hashed n-grams: buckets, and the share of the raw multinomial that is mixed into the target's, at any size of either.
+BUCKET_BITS, MIXED = 16, 0.02
 #: A document is kept if its mean log-likelihood ratio is at least this.
 THRESHOLD = -0.5
 #: Trusted documents at most: a bounded sample of the rows labelled good, lowest hashes first.
@@ -87,8 +87,8 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
 def ratio_weights(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_ROWS) -> np.ndarray:
     """Log ratio of target to raw probability for each bucket, counted over all rows of docs.
 
-    Counts are added up on the executors; 2**BUCKET_BITS rows reach the driver. The target is smoothed by the raw
-    distribution, so that without trusted documents every weight is 0.
+    Counts are added up on the executors; 2**BUCKET_BITS rows reach the driver. A share of the raw distribution
+    is mixed into the target, so that no weight is below log(MIXED); without trusted documents every weight is 0.
     """
     ship(docs.sparkSession)
     size = 1 << BUCKET_BITS
@@ -111,8 +111,8 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_ROWS)
     sums = flagged.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(size), np.zeros(size)
     raw[sums["bucket"].to_numpy()], target[sums["bucket"].to_numpy()] = sums["raw"].to_numpy(), sums["target"].to_numpy()
-    p = (raw + SMOOTH) / (raw.sum() + SMOOTH * size)
-    q = (target + SMOOTH * size * p) / (target.sum() + SMOOTH * size)
+    p = (raw + 1) / (raw.sum() + size)
+    q = (1 - MIXED) * target / target.sum() + MIXED * p if target.any() else p
     return np.log(q / p)
 
 
