@@ -66,27 +66,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words as bytes, kept for the words seen lately (at most `most`)."""
+_BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a text that are hashed at once, up to the next white space.
+_PIECE = 1 << 20
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _powers_to(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _BASE_INVERSE)):
+            steps = np.full(max(n, 1 << 14), base, np.uint64)
+            steps[0] = 1
+            with np.errstate(over="ignore"):
+                _powers[i] = np.multiply.accumulate(steps)
+    return _powers
 
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hash of each word of a UTF-8 text, equal for equal words: polynomials over the bytes, by running sums.
 
-
-#: One store for each Python worker.
-WORD_HASHES = WordHashes()
+    Words are split at ASCII white space, as bytes.split() does. No word becomes a Python object.
+    """
+    if len(data) > _PIECE:
+        out, at = [], 0
+        while at < len(data):
+            m = _SPACE.search(data, at + _PIECE)
+            end = m.start() if m else len(data)
+            out.append(_word_hashes(data[at:end]))
+            at = end
+        return np.concatenate(out)
+    return _word_hashes(data)
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
+    n = len(b)
+    space = np.ones(n + 2, np.int8)
+    space[1:-1] = (b == 32) | (b - np.uint8(9) < 5)
+    edge = np.diff(space)
+    starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    power, inverse = _powers_to(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((b + np.uint64(1)) * power[:n], out=sums[1:])
+        return mix64((sums[ends] - sums[starts]) * inverse[starts])
 
 
 def byte_words(text: str | None) -> list[bytes]:

@@ -16,20 +16,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reqlens.llm.common import WORD_HASHES, bloom, bloom_has, cut, gram_hashes, mix64, ship, spread
+from reqlens.llm.common import bloom, bloom_has, cut, gram_hashes, mix64, ship, spread, word_hashes
 
 #: n-grams of a text, and the least similarity as a fraction.
 GRAM, SIMILAR = 3, (90, 100)
+#: Edges (16 bytes each) that one task joins into components at most.
+ONE_TASK_EDGES = 1_000_000
 #: Segments with at most so many n-grams are left out, if another can be allowed a difference instead.
 TINY = 1
 
 
 def gram_set(text: str | None, gram: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct word n-grams of a text with A-Z lower-cased; a shorter text is one n-gram."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both ASCII only
-    if not words:
+    words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())  # lower() of bytes is ASCII only
+    if not len(words):
         return np.zeros(0, np.uint64)
-    return np.unique(gram_hashes(WORD_HASHES.of(words), min(gram, len(words))))
+    return np.unique(gram_hashes(words, min(gram, len(words))))
 
 
 def bands(similar: tuple[int, int], most: int) -> np.ndarray:
@@ -48,45 +50,44 @@ def differences(low: int, similar: tuple[int, int]) -> int:
     return (den - num) * (high + high * den // num) // (den + num)
 
 
-def segment_keys(grams: np.ndarray, band: int, m: int, index: bool, probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set under a band's partition into m segments, and whether each is searched (else only found)."""
+def segment_keys(grams: np.ndarray, value: np.ndarray, band: int, m: int, index: bool, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set under a band's partition into m segments, and whether each is searched (else only found).
+
+    grams are sorted and a segment is a range of their universe, so that segments are runs. value: grams mixed anew.
+    """
     with np.errstate(over="ignore"):
-        segment = ((grams >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
-        value = mix64(grams + np.uint64(band * 2 + 1))
-        sums = np.zeros(m, np.uint64)
-        order = np.argsort(segment, kind="stable")
-        ordered, values = segment[order], value[order]
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        sums[ordered[starts]] = np.add.reduceat(values, starts)
-        sizes = np.bincount(segment, minlength=m)
-        place = mix64(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
+        segment = ((grams >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+        at = segment[starts].astype(np.int64)
+        sums, sizes = np.zeros(m, np.uint64), np.zeros(m, np.int64)
+        sums[at] = np.add.reduceat(value, starts)
+        sizes[at] = np.diff(np.concatenate([starts, [len(grams)]]))
+        place = (np.arange(m, dtype=np.uint64) + np.uint64((band << 32) + 1)) * np.uint64(0x9E3779B97F4A7C15)
         exact = mix64(sums ^ place)
         searched = np.full(m, probe)
-        first = value[segment == 0]
-        deleted = mix64((sums[0] - first) ^ place[0])
         rest = int(sizes[1:].argmin()) + 1 if m > 1 else 0
         swap = m > 1 and sizes[rest] <= TINY and sizes[0] > TINY
         if swap:
             searched[rest] = False
-        keys, flags = [exact], [searched]
-        if index or swap:
-            keys.append(deleted)
-            flags.append(np.full(len(deleted), probe and swap))
-        keys, flags = np.concatenate(keys), np.concatenate(flags)
-        return (keys, flags) if index else (keys[flags], flags[flags])
+        if not index:
+            exact, searched = exact[searched], searched[searched]
+        if not (index or swap):
+            return exact, searched
+        deleted = mix64((sums[0] - value[: sizes[0]]) ^ place[0])
+        return np.concatenate([exact, deleted]), np.concatenate([searched, np.full(len(deleted), probe and swap)])
 
 
 def keys_of(grams: np.ndarray, gram: int, similar: tuple[int, int], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All keys of a set: in its own band as index and search, in the band below as search if a similar set may be there."""
     size = len(grams)
     band = int(np.searchsorted(edges, size, side="right")) - 1
-    out = []
+    value, out = mix64(grams + np.uint64(gram)), []
     h = differences(int(edges[band]), similar)
     # sets that can differ in nothing are only similar if equal, and equal sets are one class
     if h:
-        out.append(segment_keys(grams, band, h + 1, True, True))
+        out.append(segment_keys(grams, value, band, h + 1, True, True))
     if band and -(-size * similar[0] // similar[1]) < edges[band] and (h := differences(int(edges[band - 1]), similar)):
-        out.append(segment_keys(grams, band - 1, h + 1, False, True))
+        out.append(segment_keys(grams, value, band - 1, h + 1, False, True))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, bool)
     return np.concatenate([k for k, _ in out]).view(np.int64), np.concatenate([f for _, f in out])
@@ -106,12 +107,31 @@ def _edges(similar: tuple[int, int]) -> np.ndarray:
     return _EDGES[similar]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Least node reachable from each node of an edge list (u, v): node, least. Alternating large and small stars.
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if root(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(root, nodes), pa.int64())], ["node", "least"])
+
 
-    Edges stay distributed; each round is cut into the shared checkpoint folder, and ends when nothing changes.
+def components(edges: DataFrame, in_one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """Least node reachable from each node of an edge list (u, v): node, least (rows only where they differ).
+
+    Up to `in_one_task` edges, counted first, are joined by one executor task in bounded memory. More stay distributed:
+    alternating large and small stars, each round cut into the shared checkpoint folder, until nothing changes.
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    if now.count() <= in_one_task:
+        return cut(now.repartition(1).mapInArrow(_union_find, "node long, least long"))
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -170,18 +190,6 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int]
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, c = [], []
-            for text in batch.column(2):
-                grams = gram_set(text.as_py(), gram)
-                n.append(len(grams))
-                c.append(class_hash(grams))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "key", "n", "c"])
-
-    members = cut(rows.mapInArrow(measure, f"doc_id {id_type}, key long, n long, c long"))
-    classes = cut(members.where("doc_id IS NOT NULL AND n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")))
-
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _edges(similar)
         for batch in batches:
@@ -198,21 +206,26 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int]
         edges = _edges(similar)
         for batch in batches:
             for start in range(0, len(batch), 512):
-                k, s, c, n = [], [], [], []
-                for text in batch.column(0).slice(start, 512):
+                part = batch.slice(start, 512)
+                n, c, k, s, sizes = [], [], [], [], [0]
+                for i, text in zip(part.column(0), part.column(2)):
                     grams = gram_set(text.as_py(), gram)
-                    if not len(grams):
-                        continue
-                    own, searched = keys_of(grams, gram, similar, edges)
-                    here = bloom_has(may.value, own)
-                    k.append(own[here])
-                    s.append(searched[here])
-                    c.append(np.full(here.sum(), class_hash(grams)))
-                    n.append(np.full(here.sum(), len(grams)))
-                if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (k, c, s, n)], ["k", "c", "searched", "n"])
-
-    found = named.select("text").mapInArrow(shared, "k long, c long, searched boolean, n long").groupBy("k", "c").agg(F.max("searched").alias("searched"), F.max("n").alias("n"))
+                    n.append(len(grams))
+                    c.append(class_hash(grams))
+                    if len(grams) and i.is_valid:
+                        own, searched = keys_of(grams, gram, similar, edges)
+                        here = bloom_has(may.value, own)
+                        k.append(own[here])
+                        s.append(searched[here])
+                    sizes.append(sizes[-1] + (len(k[-1]) if len(grams) and i.is_valid else 0))
+                ends = pa.array(np.array(sizes, np.int32))
+                flat = [pa.array(np.concatenate(x)) if x else pa.array([], t) for x, t in ((k, pa.int64()), (s, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in flat)], ["doc_id", "key", "n", "c", "keys", "searched"])
+
+    members = cut(rows.mapInArrow(shared, f"doc_id {id_type}, key long, n long, c long, keys array<long>, searched array<boolean>"))
+    classes = cut(members.where("doc_id IS NOT NULL AND n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")))
+    each = members.where(F.size("keys") > 0).select("c", "n", F.explode(F.arrays_zip("keys", "searched")).alias("e")).select(F.col("e.keys").alias("k"), "c", F.col("e.searched").alias("searched"), "n")
+    found = each.groupBy("k", "c").agg(F.max("searched").alias("searched"), F.max("n").alias("n"))
     centres = found.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("searched").alias("any")).where("any AND low < high")
     entries = cut(spread(found, centres.select("k", "low"), ["k"]))
     num, den = similar
@@ -244,12 +257,13 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int]
     rest = spread(left, right, ["k"]).where(F.col("c") > F.col("d")).where("at != bt").where(fits).select(F.col("c").alias("u"), F.col("d").alias("v")).distinct()
     rest = rest.join(first, ["u", "v"], "left_anti")
     more = _verify(rest, texts, gram, similar)
-    whole = components(links.unionByName(more))
+    # what the first round joined stands for its links
+    whole = components(joined.select(F.col("node").alias("u"), F.col("least").alias("v")).unionByName(more))
     named_least = whole.join(classes.withColumnRenamed("c", "node"), "node").select("least", "rep").unionByName(classes.join(whole.select(F.col("least").alias("c")).distinct(), "c").select(F.col("c").alias("least"), "rep"))
     ids = named_least.groupBy("least").agg(F.min("rep").alias("id"))
     placed_ids = spread(whole, ids, ["least"]).select(F.col("node").alias("c"), "id").unionByName(ids.select(F.col("least").alias("c"), "id"))
     final = classes.join(placed_ids, "c", "left").select("c", F.coalesce("id", "rep").alias("component"))
-    out = spread(members, final, ["c"], "left")
+    out = spread(members.select("doc_id", "key", "n", "c"), final, ["c"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

@@ -15,12 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reqlens.llm.common import WORD_HASHES, bloom, bloom_has, byte_words, cut, gram_hashes, mix64, ship, spread
+from reqlens.llm.common import bloom, bloom_has, byte_words, cut, gram_hashes, mix64, ship, spread, word_hashes
 
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 50, 16
 
 
+def _bytes(text: pa.Scalar) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass")
+
+
 def blocks_of(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """Blocks of a text: anchor hash, first window, number of windows, block hash; and the hash of each window.
 
@@ -59,7 +63,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(blocks_of(WORD_HASHES.of(byte_words(t.as_py())), window, anchor)[0]) for t in batch.column(1)]
+            found = [np.unique(blocks_of(word_hashes(_bytes(t)), window, anchor)[0]) for t in batch.column(1)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), list(map(len, found)))))], ["a", "doc_id"])
 
@@ -73,7 +77,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
                 ids, keys, texts = (c.slice(start, 256) for c in batch.columns)
                 out, owner, hashes = [], [], []
                 for i, text in enumerate(texts):
-                    a, first, count, block, windows = blocks_of(WORD_HASHES.of(byte_words(text.as_py())), window, anchor)
+                    a, first, count, block, windows = blocks_of(word_hashes(_bytes(text)), window, anchor)
                     for j in np.flatnonzero(bloom_has(may.value, a)) if len(a) else ():
                         out.append((a[j], block[j], first[j], count[j]))
                         owner.append(i)
@@ -122,32 +126,47 @@ def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int =
     duplicates of each other; an empty table gives no rows; extra columns, whatever their names, are not read.
     """
     id_type = docs.schema["doc_id"].dataType
-    found = find_spans(docs, window, anchor).select(F.col("doc_id").alias("__id"), F.col("key").alias("__text_key"), F.col("spans").alias("__spans"))
-    rows = docs.select("doc_id", *keep, F.col("text").alias("__text"), F.xxhash64("text").alias("__row_key"))
-    joined = rows.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("__row_key") == F.col("__text_key")), "left").select("doc_id", *keep, "__text", "__spans")
+    found = cut(find_spans(docs, window, anchor).select(F.col("doc_id").alias("__id"), F.col("key").alias("__text_key"), "spans"))
+    rows = docs.select("doc_id", *keep, F.col("text").alias("__text"), F.xxhash64("text").alias("__row_key"), F.xxhash64("doc_id", F.xxhash64("text")).alias("__both"))
+    # only texts that may have spans are dealt out for the join; a filter of fixed size tells them apart
+    may = docs.sparkSession.sparkContext.broadcast(bloom(found.select(F.xxhash64("__id", "__text_key").alias("h")), "h"))
     n_keys = 1 + len(keep)
 
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom_has(may.value, batch.column(n_keys + 2).to_numpy())))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(~bloom_has(may.value, batch.column(n_keys + 2).to_numpy())))
+            for at in range(0, len(part), 512):
+                yield _left(part.slice(at, 512), [None] * min(512, len(part) - at))
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                rows = []
-                for text, spans in zip(part.column(n_keys), part.column(n_keys + 1).to_pylist()):
-                    words = byte_words(text.as_py())
-                    if not spans:
-                        rows.append((len(words), 0, b" ".join(words).decode("utf-8", "surrogatepass") if rejoin else text.as_py()))
-                        continue
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    start = np.array([s["start"] for s in spans])
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + np.array([s["count"] for s in spans]) - 1 + window, -1)
-                    left = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
-                    rows.append((len(words), len(words) - len(left), b" ".join(left).decode("utf-8", "surrogatepass")))
-                if rows:
-                    columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:n_keys], *columns], ["doc_id", *keep, "n_words", "n_removed", "text"])
+                yield _left(part, part.column(n_keys + 1).to_pylist())
+
+    def _left(part: pa.RecordBatch, spans_of: list) -> pa.RecordBatch:
+        rows = []
+        for text, spans in zip(part.column(n_keys), spans_of):
+            words = byte_words(text.as_py())
+            if not spans:
+                rows.append((len(words), 0, b" ".join(words).decode("utf-8", "surrogatepass") if rejoin else text.as_py()))
+                continue
+            edge = np.zeros(len(words) + 1, np.int64)
+            start = np.array([s["start"] for s in spans])
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + np.array([s["count"] for s in spans]) - 1 + window, -1)
+            left = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
+            rows.append((len(words), len(words) - len(left), b" ".join(left).decode("utf-8", "surrogatepass")))
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))]
+        return pa.RecordBatch.from_arrays([*part.columns[:n_keys], *columns], ["doc_id", *keep, "n_words", "n_removed", "text"])
 
     schema = T.StructType([T.StructField("doc_id", id_type), *(docs.schema[k] for k in keep), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
-    return joined.mapInArrow(parse, schema)
+    dealt = rows.mapInArrow(touched, rows.schema)
+    joined = dealt.join(found, (F.col("doc_id") == F.col("__id")) & (F.col("__row_key") == F.col("__text_key")), "left").select("doc_id", *keep, "__text", "spans")
+    return rows.mapInArrow(untouched, schema).unionByName(joined.mapInArrow(parse, schema))
 
 

@@ -6,6 +6,8 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pytest
@@ -301,10 +303,11 @@ def test_pigeonhole_keys():
                 assert any(k in other and (f or other[k]) for k, f in zip(a.tolist(), p.tolist()))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [0, 10**6])
+def test_components(spark, in_one_task):
     rng = random.Random(4)
     pairs = [(i, i + 1) for i in range(0, 40) if i % 10 != 9] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
-    got = {r["node"]: r["least"] for r in jaccard.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    got = {r["node"]: r["least"] for r in jaccard.components(spark.createDataFrame(pairs, "u long, v long"), in_one_task).collect()}
     for i in range(40):
         if i % 10:
             assert got[i] == i - i % 10
@@ -370,7 +373,7 @@ def test_nearest(spark):
     got = ann.nearest(df, df.where("vec_id % 100 = 0"), k=10, shard_rows=200, least_shards=4).collect()
     good = {i: np.array(v) for i, v in rows if i is not None and v and i < 5000}
     for q in (i for i in good if i % 100 == 0):
-        want = sorted((math.sqrt(sum((a - b) * (a - b) for a, b in zip(good[q].tolist(), v.tolist()))), i) for i, v in good.items() if i != q)[:10]
+        want = sorted((math.sqrt(reduce(add, ((a - b) * (a - b) for a, b in zip(good[q].tolist(), v.tolist())))), i) for i, v in good.items() if i != q)[:10]
         mine = sorted((r["rank"], r["score"], r["vec_id"]) for r in got if r["query_id"] == q)
         assert [(s, i) for _, s, i in mine] == want and [r for r, _, _ in mine] == list(range(1, 11))
     assert ann.nearest(df.limit(0), df.where("vec_id % 100 = 0"), least_shards=2).count() == 0
