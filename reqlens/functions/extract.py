@@ -40,8 +40,8 @@ def _unit(raw: Column) -> Column:
 
 
 def _kind(context: Column, unit: Column) -> Column:
-    """EXT-6: keywords of the context in order, then the unit's default."""
-    lower = F.lower(context)
+    """EXT-6: keywords of the lower-cased context in order, then the unit's default."""
+    lower = context
     out = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in L.KIND_OF_UNIT.items() for x in kv]), F.coalesce(unit, F.lit(""))), F.lit("generic"))
     for kind, needles in reversed(L.KINDS):
         hit = F.lit(False)
@@ -67,25 +67,34 @@ def constraints(c: Column) -> Column:
         phrase = F.when(F.lower(text).contains(words), F.lit(op)).otherwise(phrase)
     reference = "|".join(f"(?:{p})" for p in L.REFERENCES)
 
-    def one(i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, 1, i), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(whole, 1, i - 1), F.lit(0), lambda a, m: a + F.length(m))
-        match, value = F.element_at(whole, i), F.element_at(number, i)
-        unit = _unit(F.element_at(raw, i))
-        end = before + F.length(match)
-        context_at = F.greatest(before - 60, F.lit(0))
-        context = F.substring(text, context_at + 1, end + 20 - context_at)
-        value_at = before + F.instr(match, F.substring(F.regexp_extract(match, r"\d.*", 0), 1, 1)) - 1
-        window_at = F.greatest(value_at - 30, F.lit(0))
-        window = F.substring(text, window_at + 1, value_at + F.length(value) + 5 - window_at)
-        own = F.element_at(sign, i)
+    def place(found: Column) -> Column:
+        def one(i: Column) -> Column:
+            before = F.aggregate(F.slice(found["gaps"], 1, i), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(found["whole"], 1, i - 1), F.lit(0), lambda a, m: a + F.length(m))
+            match = F.element_at(found["whole"], i)
+            return F.struct(match.alias("match"), F.element_at(found["number"], i).alias("value"), F.element_at(found["raw"], i).alias("raw"), F.element_at(found["sign"], i).alias("sign"), before.alias("at"))
+
+        return F.when(F.size(found["whole"]) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(found["whole"]), F.lit(1))), one))
+
+    def around(m: Column) -> Column:
+        start = F.greatest(m["at"] - 60, F.lit(0))
+        value_at = m["at"] + F.length(F.regexp_extract(m["match"], r"^\D*", 0))
+        window = F.greatest(value_at - 30, F.lit(0))
+        return F.struct(
+            F.lower(F.substring(text, start + 1, m["at"] + F.length(m["match"]) + 20 - start)).alias("context"), F.substring(text, window + 1, value_at + F.length(m["value"]) + 5 - window).alias("window"),
+            _unit(m["raw"]).alias("unit"), m["sign"].alias("sign"), m["value"].alias("value"),
+        )
+
+    def finish(m: Column) -> Column:
         return F.struct(
-            _kind(context, unit).alias("kind"), F.when(own != "", own).otherwise(phrase).alias("operator"), F.replace(value, F.lit(","), F.lit(".")).cast("double").alias("value"), unit.alias("unit"),
-            (unit.isNull() & window.rlike(L.flags(reference))).alias("reference"),
+            _kind(m["context"], m["unit"]).alias("kind"), F.nullif(m["sign"], F.lit("")).alias("sign"), F.replace(m["value"], F.lit(","), F.lit(".")).cast("double").alias("value"), m["unit"].alias("unit"),
+            (m["unit"].isNull() & m["window"].rlike(L.flags(reference))).alias("reference"),
         )
 
-    found = F.when(F.size(whole) == 0, F.array().cast(CONSTRAINTS.replace(">>", ",reference:boolean>>"))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(whole), F.lit(1))), one))
+    matched = F.struct(whole.alias("whole"), gaps.alias("gaps"), sign.alias("sign"), number.alias("number"), raw.alias("raw"))
+    found = F.transform(F.transform(X.let(matched, place), around), finish)
     kept = F.filter(found, lambda s: ~s["reference"])
-    return F.array_distinct(F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["operator"].alias("operator"), s["value"].alias("value"), s["unit"].alias("unit"))))
+    out = X.let(phrase, lambda op: F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), F.coalesce(s["sign"], op).alias("operator"), s["value"].alias("value"), s["unit"].alias("unit"))))
+    return F.coalesce(F.array_distinct(F.when(text.rlike(r"\d"), out)), F.array().cast(CONSTRAINTS))
 
 
 def entities(c: Column, stop=L.ENTITY_STOP, most: int = 15) -> Column:
@@ -93,8 +102,7 @@ def entities(c: Column, stop=L.ENTITY_STOP, most: int = 15) -> Column:
     found = F.concat(X.matches(c, "(?U)" + L.ENTITY_PHRASE, 1), X.matches(c, "(?U)" + L.ENTITY_ACRONYM, 1))
     stops = X.strings(stop)
     named = F.filter(found, lambda t: (F.length(t) > 2) & ~F.array_contains(stops, F.lower(t)) & (F.size(F.array_except(F.split(F.lower(t), r"(?U)\s+"), stops)) > 0))
-    firsts = F.filter(F.transform(named, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda s: F.array_position(F.transform(named, F.lower), F.lower(s["t"])) == s["i"] + 1)
-    return F.slice(F.transform(firsts, lambda s: s["t"]), 1, most)
+    return X.let(named, lambda n: X.let(F.transform(n, F.lower), lambda low: F.slice(F.filter(n, lambda t, i: F.array_position(low, F.lower(t)) == i + 1), 1, most)))
 
 
 def is_boilerplate(c: Column) -> Column:

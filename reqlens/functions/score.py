@@ -22,8 +22,7 @@ def containment(a: Column, b: Column) -> Column:
 def bow_cosine(a: Column, b: Column) -> Column:
     """SCO-2: cosine of token counts; a and b are arrays of (token, n)."""
     table = lambda x: F.map_from_arrays(x["token"], x["n"])
-    theirs = table(b)
-    dot = F.aggregate(a, F.lit(0.0), lambda s, t: s + t["n"] * F.coalesce(F.try_element_at(theirs, t["token"]), F.lit(0)))
+    dot = X.let(table(b), lambda theirs: F.aggregate(a, F.lit(0.0), lambda s, t: s + t["n"] * F.coalesce(F.try_element_at(theirs, t["token"]), F.lit(0))))
     norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, t: s + t["n"] * t["n"]))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / (norm(a) * norm(b))).otherwise(F.lit(0.0))
 

@@ -13,6 +13,11 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(STRINGS)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression named inside a lambda is otherwise computed at each call."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -50,8 +55,15 @@ def content_tokens(c: Column, stop_words=L.STOP_WORDS, lemmas: dict[str, str] |
 
 def term_counts(c: Column, pattern: str = L.TOKEN) -> Column:
     """TXT-4: array of (token, count)."""
-    all_ = F.transform(matches(c, pattern), F.lower)
-    return F.transform(F.array_distinct(all_), lambda t: F.struct(t.alias("token"), F.size(F.filter(all_, lambda x: x == t)).alias("n")))
+    sorted_ = F.array_sort(F.transform(matches(c, pattern), F.lower))
+
+    def counted(all_: Column) -> Column:
+        # in sorted order a token's count is the distance of its first place from the next token's
+        n = F.size(all_)
+        firsts = F.filter(F.transform(all_, lambda t, i: F.struct(t.alias("token"), i.alias("i"))), lambda s: (s["i"] == 0) | (F.get(all_, s["i"] - 1) != s["token"]))
+        return let(firsts, lambda f: F.transform(f, lambda s, k: F.struct(s["token"].alias("token"), (F.coalesce(F.get(f, k + 1)["i"], n) - s["i"]).alias("n"))))
+
+    return let(sorted_, counted)
 
 
 def strip_punctuation(c: Column) -> Column:

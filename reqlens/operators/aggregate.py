@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from reqlens import lexicon as L
+from reqlens.functions import text as X
 from reqlens.operators import routing
 
 KEY = ("package_id", "req_id", "target_doc_id")
@@ -24,8 +25,8 @@ class AggregateConfig:
 def clean_aspects(aspects):
     """DED-6: without punctuation at the ends, short ones, mixed scripts, repeats (any case) and parts of others."""
     bare = F.filter(F.transform(aspects, lambda a: F.trim(F.regexp_replace(a, r"(?U)^[\s\p{Punct}]+|[\s\p{Punct}]+$", ""))), lambda a: (F.length(a) >= 3) & ~a.rlike(r"[A-Za-z][а-яё]|[а-яё][A-Za-z]"))
-    firsts = F.filter(bare, lambda a, i: F.array_position(F.transform(bare, F.lower), F.lower(a)) == i + 1)
-    return F.filter(firsts, lambda a: ~F.exists(firsts, lambda b: (F.lower(a) != F.lower(b)) & F.contains(F.lower(b), F.lower(a))))
+    firsts = X.let(bare, lambda all_: X.let(F.transform(all_, F.lower), lambda low: F.filter(all_, lambda a, i: F.array_position(low, F.lower(a)) == i + 1)))
+    return X.let(firsts, lambda all_: F.filter(all_, lambda a: ~F.exists(all_, lambda b: (F.lower(a) != F.lower(b)) & F.contains(F.lower(b), F.lower(a)))))
 
 
 def aggregate_verdicts(grid: DataFrame, judgments: DataFrame, cfg: AggregateConfig = AggregateConfig()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from reqlens import lexicon as L
 from reqlens.functions import extract as E, score as S, text as X
+from reqlens.lineage import stage
 
 PAIR = ("package_id", "req_id", "target_doc_id")
 
@@ -58,17 +59,19 @@ def score_pairs(reqs: DataFrame, units: DataFrame, cfg: RetrievalConfig = Retrie
     A pair without a common token can still pass by its section and topic, so that an index of tokens would lose rows;
     the join is on the package, whose size bounds the pairs, and nothing of a text is computed after it.
     """
-    pairs = requirement_signals(reqs).join(unit_signals(units), "package_id")
+    pairs = stage(requirement_signals(reqs)).join(stage(unit_signals(units)), "package_id")
     topic = S.topic_prior(F.col("role"), F.col("req_type"), F.col("topics"))
     pairs = pairs.withColumns(
         {
             "lex": S.jaccard(F.col("req_tokens"), F.col("unit_tokens")), "sem": S.bow_cosine(F.col("req_terms"), F.col("unit_terms")), "con": S.constraint_overlap(F.col("req_constraints"), F.col("unit_constraints")),
             "topic": topic, "exact": S.share_of(F.col("req_boost"), F.col("unit_boost")), "penalty": S.noise_penalty(F.col("noise"), F.col("req_type"), F.col("req_aspects"), F.col("unit_aspects")),
         }
-    ).withColumn("sec", F.greatest(S.section_prior(F.col("role"), F.col("section_title"), F.col("req_type")), "topic"))
+    )
+    # one row a pair, without texts: the filter on the score must not copy the score's expressions
+    pairs = stage(pairs.withColumn("sec", F.greatest(S.section_prior(F.col("role"), F.col("section_title"), F.col("req_type")), "topic")).drop("req_tokens", "unit_tokens", "req_terms", "unit_terms", "topics", "noise", "req_aspects", "unit_aspects", "req_boost", "unit_boost"))
     scored = pairs.withColumn("raw", hybrid(F.col("lex"), F.col("sem"), F.col("con"), F.col("sec"), F.col("exact"), F.col("topic"), F.col("penalty"), cfg)).where(F.col("raw") >= cfg.min_score)
     rounded = {k: F.round(k, 4) for k in ("lex", "sem", "con", "sec")}
-    return scored.withColumns(rounded).withColumn("score", F.round("raw", 4)).drop("req_tokens", "unit_tokens", "req_terms", "unit_terms", "topics", "noise", "req_aspects", "unit_aspects", "req_boost", "unit_boost", "raw")
+    return scored.withColumns(rounded).withColumn("score", F.round("raw", 4)).drop("raw")
 
 
 def hybrid(lex, sem, con, sec, exact, topic, penalty, cfg: RetrievalConfig = RetrievalConfig()):

@@ -6,7 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from reqlens.operators import aggregate, judge, requirements, retrieve, units
+from reqlens.functions import text as X
+from reqlens.lineage import stage
+from reqlens.operators import aggregate, judge, requirements, retrieve, units, verify
 from reqlens.sources import packages
 
 
@@ -14,6 +16,7 @@ from reqlens.sources import packages
 class CoverageConfig:
     retrieval: retrieve.RetrievalConfig = field(default_factory=retrieve.RetrievalConfig)
     aggregation: aggregate.AggregateConfig = field(default_factory=aggregate.AggregateConfig)
+    verification: bool = True
     extraction: str = "auto"  # candidates, fragments, sections, or the first of these that gives any
 
 
@@ -22,32 +25,44 @@ def extract_requirements(source: DataFrame, given: DataFrame, mode: str = "auto"
     ways = {"candidates": lambda: requirements.from_candidates(given), "fragments": lambda: requirements.from_fragments(source), "sections": lambda: requirements.from_sections(source)}
     columns = ["package_id", "doc_id", "req_id", "text", "section_id", "section_title", "normalized_text", "requirement_type", "modality", "entities", "constraints"]
     if mode != "auto":
-        return ways[mode]().select(*columns)
+        return stage(ways[mode]().select(*columns))
     out = None
     for make in ways.values():
         rows = make().select(*columns)
-        out = rows if out is None else out.unionByName(rows.join(out.select("package_id", "doc_id").distinct(), ["package_id", "doc_id"], "left_anti"))
+        out = stage(rows if out is None else out.unionByName(rows.join(out.select("package_id", "doc_id").distinct(), ["package_id", "doc_id"], "left_anti")))
     return out
 
 
 def judged_pairs(reqs: DataFrame, coverage_units: DataFrame, cfg: CoverageConfig = CoverageConfig()) -> tuple[DataFrame, DataFrame]:
-    """Selected candidates, and the rule judge's verdict on each selected pair."""
-    chosen = retrieve.select(retrieve.shortlist(retrieve.score_pairs(reqs, coverage_units, cfg.retrieval), cfg.retrieval), cfg.retrieval)
-    left = reqs.select("package_id", "req_id", *[v.alias(k) for k, v in judge.signals("req", F.col("normalized_text"), F.col("entities"), F.col("constraints"), F.col("section_id")).items()])
-    right = coverage_units.select("package_id", "unit_id", *[v.alias(k) for k, v in judge.signals("unit", F.col("normalized_text"), F.col("entities"), F.col("constraints"), F.col("section_id")).items()])
-    pairs = chosen.where("selected").select("package_id", "req_id", "target_doc_id", "unit_id", "score", "below_floor").join(left, ["package_id", "req_id"]).join(right, ["package_id", "unit_id"])
-    verdicts = judge.judge(pairs)
-    return chosen, verdicts.select(
-        "package_id", "req_id", "target_doc_id", "unit_id", "label", "confidence", "score", F.col("below_floor").alias("low_confidence"), F.lit(False).alias("grounding_failed"), F.array().cast("array<string>").alias("actions"), "missing_aspects", "rule"
-    )
+    """Selected candidates, and the verified verdict of the rule judge on each selected pair."""
+    chosen = stage(retrieve.select(retrieve.shortlist(retrieve.score_pairs(reqs, coverage_units, cfg.retrieval), cfg.retrieval), cfg.retrieval))
+
+    def side(df: DataFrame, name: str, key: str) -> DataFrame:
+        made = judge.signals(name, F.col("normalized_text"), F.col("entities"), F.col("constraints"), F.col("section_id"))
+        given = {"text": F.col("text"), "norm": F.col("normalized_text"), "tokens": X.content_tokens(F.col("normalized_text")), "entities": F.col("entities"), "constraints": F.col("constraints")}
+        return df.select("package_id", key, *[v.alias(k) for k, v in made.items()], *[v.alias(f"{name}_{k}") for k, v in given.items()])
+
+    picked = chosen.where("selected").select("package_id", "req_id", "target_doc_id", "unit_id", "score", "below_floor", "role", "req_type")
+    picked_reqs, picked_units = picked.select("package_id", "req_id").distinct(), picked.select("package_id", "unit_id").distinct()
+    left = stage(side(reqs.join(picked_reqs, ["package_id", "req_id"], "left_semi"), "req", "req_id"))
+    right = stage(side(coverage_units.join(picked_units, ["package_id", "unit_id"], "left_semi"), "unit", "unit_id"))
+    pairs = picked.join(left, ["package_id", "req_id"]).join(right, ["package_id", "unit_id"])
+    verdicts = stage(judge.judge(pairs))
+    if cfg.verification:
+        verdicts = verify.verify(verdicts).withColumn("label", F.col("adjusted"))
+    else:
+        verdicts = verdicts.withColumn("actions", X.strings([]))
+    return chosen, stage(verdicts.select(
+        "package_id", "req_id", "target_doc_id", "unit_id", "label", "confidence", "score", F.col("below_floor").alias("low_confidence"), F.lit(False).alias("grounding_failed"), "actions", "missing_aspects", "rule"
+    ))
 
 
 def analyze(requests: DataFrame, cfg: CoverageConfig = CoverageConfig()) -> dict[str, DataFrame]:
     """Requirements, units, candidates, judgments, results (one row for each requirement and target) and rollup of all packages."""
     docs = packages.documents(requests)
-    pieces = packages.fragments(docs)
+    pieces = stage(packages.fragments(docs))
     reqs = extract_requirements(pieces.where("side = 'source'"), packages.candidates(docs.where("side = 'source'")), cfg.extraction)
-    made = units.build_units(pieces.where("side = 'target'"))
+    made = stage(units.build_units(pieces.where("side = 'target'")))
     chosen, judgments = judged_pairs(reqs, made, cfg)
     targets = docs.where("side = 'target'").select("package_id", F.col("doc_id").alias("target_doc_id"), F.col("doc_role").alias("role"))
     grid = reqs.select("package_id", "req_id", F.col("requirement_type").alias("req_type")).join(targets, "package_id")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from reqlens import lexicon as L
 from reqlens.functions import extract as E, score as S, text as X
+from reqlens.lineage import stage
 from reqlens.operators import aggregate, cache, evaluate, legacy, routing, traceability, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -333,12 +334,12 @@ def coverage_turns(spark, sf_dir):
     from reqlens.plans.coverage import judged_pairs
 
     user = turns(spark, sf_dir, "user").withColumns({"section_title": F.lit(None).cast("string"), "section_id": F.lit(None).cast("string")})
-    reqs = requirements.with_features(user.select("package_id", F.col("id").alias("req_id"), "pos", "text", "section_id", "section_title"))
-    made = units.build_units(
+    reqs = stage(requirements.with_features(user.select("package_id", F.col("id").alias("req_id"), "pos", "text", "section_id", "section_title")))
+    made = stage(units.build_units(
         turns(spark, sf_dir, "assistant").select(
             "package_id", F.concat(F.lit("target-"), "package_id").alias("doc_id"), F.lit("pmi").alias("doc_role"), "pos", F.col("id").alias("fragment_id"), F.lit(None).cast("string").alias("section_id"), F.lit("paragraph").alias("kind"), "text", F.lit(None).cast("string").alias("section_title")
         )
-    )
+    ))
     _, judgments = judged_pairs(reqs, made)
     grid = reqs.select("package_id", "req_id", F.col("requirement_type").alias("req_type"), F.concat(F.lit("target-"), "package_id").alias("target_doc_id"), F.lit("pmi").alias("role"))
     return aggregate.aggregate_verdicts(grid, judgments).select("package_id", "req_id", "target_doc_id", "status", "subcode", "level", "severity", "is_critical", "confidence")

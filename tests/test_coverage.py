@@ -22,6 +22,9 @@ def package(spark, tmp_path, source, target, name="p1"):
 
 @pytest.mark.parametrize("source, target, expected", [
     ("Система должна хранить журнал событий не менее 90 дней.", "Проверить, что журнал событий хранится не менее 90 суток.", "COVERED"),
+    ("Система должна обеспечивать время ответа не более 2 секунд.", "Проверить время ответа системы при различных нагрузках.", "PARTIAL"),
+    # without an encoder or a lemma dictionary, texts that share no token stay below the retrieval gate
+    ("Система должна хранить журнал событий не менее 90 дней.", "Проверить, что журнал событий хранится не менее 30 суток.", "CONFLICT"),
     ("Система должна хранить журнал не менее 90 дней.", "Интерфейс пользователя должен содержать кнопку выхода.", "MISSING"),
 ])
 def test_canonical(spark, tmp_path, source, target, expected):
