@@ -233,5 +233,34 @@ def roles(c: Column) -> Column:
 
 
 def json_object(c: Column, schema: str) -> Column:
-    """EXT-37: a JSON object as such, or the outermost braces in a text."""
-    return F.coalesce(F.from_json(c, schema), F.from_json(F.regexp_extract(X.text_of(c), r"(?s)\{.*\}", 0), schema))
+    """EXT-37: the JSON object from the first to the last brace of a text."""
+    return F.from_json(F.regexp_extract(X.text_of(c), r"(?s)\{.*\}", 0), schema)
+
+
+def split_compound(c: Column, markers=L.LIST_MARKERS) -> Column:
+    """EXT-17: "intro: items" as an array of "intro: item", by the first style of list marker that gives two valid items.
+
+    The intro ends at the first colon outside brackets and has three words; the rest has four. An item has at most 40
+    words, and two words or five characters. Other texts are returned whole.
+    """
+    text = F.trim(X.text_of(c))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(0).alias("at"))
+
+    def step(s: Column, ch: Column) -> Column:
+        i = s["i"] + 1
+        depth = F.when(ch.isin("(", "["), s["depth"] + 1).when(ch.isin(")", "]"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return F.struct(i.alias("i"), depth.alias("depth"), F.when((s["at"] == 0) & (ch == ":") & (s["depth"] == 0), i).otherwise(s["at"]).alias("at"))
+
+    colon = F.aggregate(F.split(text, ""), start, step, lambda s: s["at"])
+    parts_of = lambda at: F.struct(F.trim(F.substring(text, F.lit(1), at - 1)).alias("intro"), F.regexp_replace(F.substring(text, at + 1, F.length(text)), r"(?U)^\s+|\s+$", "").alias("body"))
+
+    def items(p: Column) -> Column:
+        styles = []
+        for m in markers:
+            pieces = F.filter(F.transform(F.split(p["body"], m), lambda x: F.regexp_replace(x, r"^[ \t\n.,;:]+|[ \t\n.,;:]+$", "")), lambda x: x != "")
+            valid = F.filter(pieces, lambda x: (X.word_count(x) <= 40) & ((X.word_count(x) >= 2) | (F.length(F.trim(x)) >= 5)))
+            styles.append(X.let(valid, lambda v: F.when(F.size(v) >= 2, F.transform(v, lambda x: F.concat(p["intro"], F.lit(": "), x)))))
+        return F.when((X.word_count(p["intro"]) >= 3) & (X.word_count(p["body"]) >= 4), F.coalesce(*styles))
+
+    found = X.let(colon, lambda at: F.when((at > 0) & (at < F.length(text)), X.let(parts_of(at), items)))
+    return F.coalesce(found, F.array(text))
