@@ -251,11 +251,13 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int]
     joined = components(links)
     placed = spread(entries, joined.select(F.col("node").alias("c"), "least"), ["c"], "left").withColumn("at", F.coalesce("least", "c")).select("k", "c", "searched", "n", "at")
     placed = cut(placed)
-    open_ = placed.groupBy("k").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a < b").select("k")
+    # of a key that is not one component yet, only classes outside its commonest component meet the others
+    sizes = placed.groupBy("k", "at").agg(F.count(F.lit(1)).alias("size"))
+    open_ = sizes.groupBy("k").agg(F.max_by("at", F.struct("size", "at")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("k", "main")
     left = cut(spread(placed, open_, ["k"]))
     right = left.select("k", F.col("c").alias("d"), F.col("searched").alias("other"), F.col("n").alias("m"), F.col("at").alias("bt"))
-    rest = spread(left, right, ["k"]).where(F.col("c") > F.col("d")).where("at != bt").where(fits).select(F.col("c").alias("u"), F.col("d").alias("v")).distinct()
-    rest = rest.join(first, ["u", "v"], "left_anti")
+    rest = spread(left.where("at != main"), right, ["k"]).where("at != bt").where(fits).select(F.greatest("c", "d").alias("u"), F.least("c", "d").alias("v")).distinct()
+    rest = rest.join(first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
     more = _verify(rest, texts, gram, similar)
     # what the first round joined stands for its links
     whole = components(joined.select(F.col("node").alias("u"), F.col("least").alias("v")).unionByName(more))
