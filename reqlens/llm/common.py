@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD_PATTERN)
 
-#: Bits of a Bloom filter, and so the bytes that it puts on every executor: 2**28 bits are 32 MB, whatever the input.
-BLOOM_BITS = 28
+#: Bits of a Bloom filter, and so the bytes that it puts on every executor: 2**26 bits are 8 MB, whatever the input.
+BLOOM_BITS = 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
