@@ -212,6 +212,18 @@ def test_html_repeated_runs(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mention", [
+    '<script type="application/ld+json">{"articleBody": "x"}</script>', "<style>.entry-content, .post-body {}</style>", "<!-- <main class=x> -->",
+    "<section class=comments><article><p>a reader</p></article></section>", "<script>var t = '<article></article>'</script>",
+])
+def test_html_runs_go_where_a_container_is_only_mentioned(spark, mention):
+    rng = random.Random(4)
+    shared, texts = prose(rng, 12), [prose(rng, 30) for _ in range(4)]
+    rows = [(i, f"http://h.example/{i}", f"<body>{mention}<p>{shared}</p><p>{t}</p></body>") for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (9, "http://h.example/9", f"{mention}<main><p>{shared}</p></main>")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract_main_text(df).collect()} == dict(enumerate(texts)) | {9: shared}
+
+
 def test_suffix_runs():
     tokens = np.array([1, 2, 3, 4, 9, 1, 2, 3, 4, 8])
     at, rank = html.suffix_runs(tokens, np.full(10, 10), 4)
