@@ -52,12 +52,13 @@ class VPTree:
         return own, middle, self._build(rest[inner]), self._build(rest[~inner])
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances, nearest first and ties by id, of the k nearest points with another id than the query's.
+        """Ids and distances, nearest first and ties by id, of the k nearest ids other than the query's, each at its nearest point.
 
         A child is passed over when the triangle inequality puts all of it beyond the k-th distance so far; factor > 1
         shrinks that distance in the test, which passes over more, and factor 1 is exact. Unfilled places hold inf.
         """
         self.q, self.qid, self.id, self.k, self.factor = queries, query_ids, ids, k, factor
+        self.repeated = len(np.unique(ids)) < len(ids)
         self.best_d, self.best_i = np.full((len(queries), k), np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
         if len(self.points) and len(queries):
             self._visit(self.root, np.arange(len(queries)))
@@ -72,6 +73,11 @@ class VPTree:
         active, d = active[some], d[some]
         all_d = np.concatenate([self.best_d[active], d], 1)
         all_i = np.concatenate([self.best_i[active], np.where(np.isinf(d), np.iinfo(np.int64).max, np.broadcast_to(self.id[rows], d.shape))], 1)
+        if self.repeated:  # of an id's points the nearest stays, so that the list holds k ids
+            order = np.lexsort((all_d, all_i), axis=1)
+            all_d, all_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+            again = all_i[:, 1:] == all_i[:, :-1]
+            all_d[:, 1:][again], all_i[:, 1:][again] = np.inf, np.iinfo(np.int64).max
         order = np.lexsort((all_i, all_d), axis=1)[:, : self.k]
         self.best_d[active], self.best_i[active] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
 
@@ -115,17 +121,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
     (see `usable`) give and get nothing. Of rows with equal id and vector one counts; of rows with equal id and other
     vectors the nearest. Fewer candidates than k give fewer rows, an empty table none; other columns are not read.
 
-    Vectors are dealt into shards and queries into blocks by a hash of the id, the numbers of both from counts of the
-    rows; each task joins one shard with one block, and gives k rows a query. Neither side is collected or broadcast.
+    Vectors are dealt into shards by a hash of id and vector, so that an id with many vectors has no task of its own, and
+    queries into blocks by a hash of the id, the numbers of both from counts of the rows; each task joins one shard with
+    one block, and gives k ids a query. Neither side is collected or broadcast.
     """
     ship(vectors.sparkSession)
     vectors, queries = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
     n = vectors.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     m = queries.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     shards, blocks = max(least_shards, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    pick = lambda seed, count: F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(count)).cast("int")
-    v = vectors.select(pick(1, shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), pick(2, blocks).alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    pick = lambda seed, count, *by: F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(count)).cast("int")
+    v = vectors.select(pick(1, shards, id_col, vec_col).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), pick(2, blocks, id_col).alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})

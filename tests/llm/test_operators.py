@@ -392,6 +392,16 @@ def test_nearest(spark):
     assert ann.nearest(df.where("vec_id < 4"), df.where("vec_id = 0"), least_shards=2).count() == 3
 
 
+@pytest.mark.parametrize("shards", [1, 4])
+def test_nearest_of_ids_with_many_vectors(spark, shards):
+    rng = np.random.default_rng(6)
+    rows = [(0, [0.0, 1.0])] + [(i, [float(x), 1.0]) for i in (1, 2) for x in rng.uniform(0.1, 1, 60)] + [(i, [float(i), 1.0]) for i in range(3, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id = 0"), k=10, least_shards=shards).collect()
+    least = {i: min(v[0] for j, v in rows if j == i) for i in range(1, 40)}
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == sorted(least.items(), key=lambda x: (x[1], x[0]))[:10]
+
+
 def test_pruning_factor():
     rng = np.random.default_rng(3)
     points = rng.normal(size=(3000, 6))
