@@ -13,14 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reqlens.llm.common import WORD_RE, ship
+from reqlens.llm.common import WORD_RE, bloom, bloom_has, ship
 
 #: Hashed n-grams: buckets, and the share of the raw multinomial that is mixed into the target's, at any size of either.
 BUCKET_BITS, MIXED = 16, 0.02
 #: A document is kept if its mean log-likelihood ratio is at least this.
 THRESHOLD = -0.5
-#: Trusted documents at most: a bounded sample of the rows labelled good, lowest hashes first.
-TRUSTED_ROWS = 20_000
 #: Base rules.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = "#*$%&|<>"
@@ -78,37 +76,45 @@ def measures(text: str) -> tuple[int, int, int, int, int, bool]:
     return n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), dup, repeat, n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """At most `most` doc_ids labelled of good quality and not toxic, those with the lowest hashes: a bounded table."""
-    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All doc_ids labelled of good quality and not toxic."""
+    return labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def ratio_weights(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_ROWS) -> np.ndarray:
-    """Log ratio of target to raw probability for each bucket, counted over all rows of docs.
+def ratio_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Log ratio of target to raw probability for each bucket: raw over all rows of docs, target over all trusted ones.
 
-    Counts are added up on the executors; 2**BUCKET_BITS rows reach the driver. A share of the raw distribution
-    is mixed into the target, so that no weight is below log(MIXED); without trusted documents every weight is 0.
+    Trusted rows are found by a join, for which only rows that pass a Bloom filter of fixed size are dealt out. Counts
+    are added up on the executors; 2**BUCKET_BITS rows reach the driver. A share of the raw distribution is mixed into
+    the target, so that no weight is below log(MIXED); without trusted documents every weight is 0.
     """
     ship(docs.sparkSession)
     size = 1 << BUCKET_BITS
-    flagged = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(trusted_ids(labels, most).select(F.col("doc_id").alias("id"), F.lit(True).alias("good"))), "id", "left").select("text", "good")
+    rows = docs.select("doc_id", "text")
+    good = trusted_ids(labels).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    may = docs.sparkSession.sparkContext.broadcast(bloom(good.select(F.xxhash64("doc_id").alias("h")), "h"))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom_has(may.value, batch.column(2).to_numpy()))).select([0, 1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        counts = np.zeros(size, np.int64)
         for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1).to_pylist()):
+            for text in batch.column(0):
                 at = buckets((text.as_py() or "").encode("utf-8"))
-                own = np.bincount(at, minlength=size) if len(at) > size // 8 else None
-                for sums in (raw, target) if good else (raw,):
-                    if own is not None:
-                        sums += own
-                    else:
-                        np.add.at(sums, at, 1)
-        here = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(raw[here]), pa.array(target[here])], ["bucket", "raw", "target"])
-
-    sums = flagged.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+                if len(at) > size // 8:
+                    counts += np.bincount(at, minlength=size)
+                else:
+                    np.add.at(counts, at, 1)
+        here = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(counts[here])], ["bucket", "n"])
+
+    trusted = rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(possible, rows.schema).join(good, "doc_id", "left_semi")
+    zero = F.lit(0).cast("long")
+    counted = rows.select("text").mapInArrow(count, "bucket int, n long").select("bucket", F.col("n").alias("raw"), zero.alias("target"))
+    counted = counted.unionByName(trusted.select("text").mapInArrow(count, "bucket int, n long").select("bucket", zero.alias("raw"), F.col("n").alias("target")))
+    sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(size), np.zeros(size)
     raw[sums["bucket"].to_numpy()], target[sums["bucket"].to_numpy()] = sums["raw"].to_numpy(), sums["target"].to_numpy()
     p = (raw + 1) / (raw.sum() + size)
@@ -122,7 +128,7 @@ def score(text: str, weights: np.ndarray) -> float:
     return float(weights[at].sum() / len(at)) if len(at) else 0.0
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = TRUSTED_ROWS, keep_rows: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep_rows: bool = False) -> DataFrame:
     """Measures and verdict of every document, or (keep_rows) the rows of docs that are kept, with all their columns.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score. Null and
@@ -131,7 +137,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     extra columns are not read, or with keep_rows passed through.
     """
     ship(docs.sparkSession)
-    weights = ratio_weights(docs, labels, most)
+    weights = ratio_weights(docs, labels)
     source = docs if keep_rows else docs.select("doc_id", "text")
     at = source.columns.index("text")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

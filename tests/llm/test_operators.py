@@ -155,6 +155,16 @@ def test_ratio_is_the_multinomials(spark, corpus):
     assert np.allclose(got, np.log((0.98 * target / target.sum() + 0.02 * p) / p))
 
 
+def test_ratio_counts_all_trusted_rows(spark):
+    docs = spark.range(20_100).select(F.col("id").alias("doc_id"), F.concat(F.md5(F.col("id").cast("string")), F.when(F.col("id") % 2 == 0, "é")).alias("text"))
+    got = quality.ratio_weights(docs, docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    raw = np.zeros(1 << quality.BUCKET_BITS)
+    for r in docs.collect():
+        np.add.at(raw, quality.buckets((r["text"] or "").encode()), 1)
+    p = (raw + 1) / (raw.sum() + len(raw))
+    assert np.allclose(got, np.log((0.98 * raw / raw.sum() + 0.02 * p) / p))
+
+
 def test_pu_classifier(spark):
     rng = random.Random(3)
     rows, labels = [], []
