@@ -88,6 +88,18 @@ def modality(spark, sf_dir):
     return texts(spark).select("id", E.modality(F.col("text")).alias("modality"))
 
 
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN {bounded_sql(ws)} THEN '{m}'" for m, ws in L.MODALITY) + " ELSE 'unknown' END AS modality FROM documents")
+def modality_documents(spark, sf_dir):
+    """EXT-1 on all texts of documents."""
+    return table(spark, sf_dir, "documents").select("doc_id", E.modality(F.col("text")).alias("modality"))
+
+
+@query()
+def constraints_documents(spark, sf_dir):
+    """EXT-5 to EXT-8 on all texts of documents; without SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(E.constraints(F.col("text"))).alias("c")).select("doc_id", "c.kind", "c.operator", "c.value", "c.unit")
+
+
 @query(
     "SELECT * FROM (VALUES (1, 'retention_period', '>=', 90.0::DOUBLE, 'days'), (2, 'response_time', '<=', 2.0, 'sec'), (3, 'retention_period', '=', 30.0, 'days'), (9, 'size', '<=', 200.0, 'mb')) AS t(id, kind, operator, value, unit)"
 )

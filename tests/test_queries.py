@@ -34,5 +34,17 @@ def test_matches_sql(spark, name):
     assert rows(got.select(*columns).collect()) == rows(con.sql(f"SELECT {picked} FROM ({entry.ORACLE_SQL[name]})").fetchall())
 
 
+def test_extractors_read_documents(spark, tmp_path):
+    from reqlens.queries import TEXTS
+
+    long = "слово " * 3000
+    rows = [*TEXTS, (20, long + "Хранить 30 суток."), (21, None), (22, long + "Система не должна передавать данные.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {tuple(r) for r in entry.QUERIES["constraints_documents"](spark, str(tmp_path)).collect()}
+    assert found == {(1, "retention_period", ">=", 90.0, "days"), (2, "response_time", "<=", 2.0, "sec"), (3, "retention_period", "=", 30.0, "days"), (9, "size", "<=", 200.0, "mb"), (20, "retention_period", "=", 30.0, "days")}
+    modality = {r["doc_id"]: r["modality"] for r in entry.QUERIES["modality_documents"](spark, str(tmp_path)).collect()}
+    assert modality == {r["id"]: r["modality"] for r in entry.QUERIES["modality"](spark, DATA).collect()} | {20: "unknown", 21: "unknown", 22: "must_not"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
