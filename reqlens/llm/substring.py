@@ -1,11 +1,13 @@
-"""Substring deduplication by relative Lempel-Ziv parsing of documents against indexed reference blocks.
+"""Substring deduplication by hashes of content-defined blocks and of windows, in place of a relative Lempel-Ziv parse.
 
 Every text is cut into blocks at places that its content decides: of each window of `window` words the word run
 (`anchor` words) with the least hash is the anchor, and the consecutive windows of one anchor are a block. The blocks of
-all documents are the reference index. A document is parsed from left to right into factors, each the longest run of
-its blocks that are found whole in a document with a smaller id. At factor boundaries, where a block as such is not
-found but its anchor is, its windows are looked up one by one, so that a factor ends at the exact word. Every factor is
-at least a window long and becomes a duplicate span.
+all documents are the reference index. A block found whole in a document with a smaller id is a duplicate span. Where a
+block as such is not found but its anchor is, its windows are looked up one by one, so that spans end at the exact word.
+
+There is no greedy parse into factors, and spans that touch come from whichever documents hold their windows. The rows
+need only the union of the duplicate windows: factors, runs of such windows, cover the same words, and to find them
+would take each document's blocks in order besides the joins.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
     index = cut(found.groupBy("a", "block").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min_by("windows", "doc_id").alias("windows")))
     copies = spread(found.select("a", "block", "doc_id", "key", "start", "count"), index.where("least < most").select("a", "block", "least"), ["a", "block"]).where("doc_id > least")
 
-    # factor boundaries: anchors with several blocks
+    # ends of spans: anchors with several blocks
     several = index.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("low"), F.max("most").alias("high")).where("n > 1 AND low < high").select("a")
     edges = spread(index.select("a", "block", "least", "windows"), several, ["a"])
 
