@@ -1,4 +1,4 @@
-"""Shared pieces of the corpus operators: word patterns, lineage cuts, and bounded Bloom filters."""
+"""Shared pieces of the corpus operators: word patterns, hashes of words, lineage cuts, and bounded Bloom filters."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD_PATTERN)
 
-#: Bits of a Bloom filter, and so the bytes that it puts on every executor: 2**26 bits are 8 MB, whatever the input.
-BLOOM_BITS = 26
+#: Bits of a Bloom filter for each key that it holds, and the least and most bits of one (as powers of 2): 2**28 bits are
+#: 32 MB on every executor, whatever the input.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 16, 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder that the cluster names in spark.checkpoint.dir; set one only where none is named (tests)."""
+    """Keep the shared folder that the cluster names in spark.checkpoint.dir; set one only where none is named (tests).
+
+    A folder of one machine would be no use to the others, so that a cluster without a named folder is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reqlens-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="reqlens-checkpoint-")
+    context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -66,26 +75,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-_BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes of a text that are hashed at once, up to the next white space.
 _PIECE = 1 << 20
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_multipliers: list[np.ndarray] = [np.zeros(0, np.uint64)]
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(max(n, 1 << 14), base, np.uint64)
-            steps[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[i] = np.multiply.accumulate(steps)
-    return _powers
+def _multipliers_to(n: int) -> np.ndarray:
+    """Random 64-bit numbers, one for each place in a word; the same in every process."""
+    if len(_multipliers[0]) < n:
+        with np.errstate(over="ignore"):
+            _multipliers[0] = mix64(np.arange(1, max(2 * n, 1 << 10) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _multipliers[0]
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hash of each word of a UTF-8 text, equal for equal words: polynomials over the bytes, by running sums.
+    """64-bit hash of each word of a UTF-8 text, equal for equal words: sums of byte times a random number of its place.
 
+    Such sums are universal: two different words have one hash with a chance of at most 2**-56, whatever the words are.
+    (In a polynomial modulo 2**64, which needs no random numbers, long words of a regular build collide for any base.)
     Words are split at ASCII white space, as bytes.split() does. No word becomes a Python object.
     """
     if len(data) > _PIECE:
@@ -101,16 +109,19 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 def _word_hashes(data: bytes) -> np.ndarray:
     b = np.frombuffer(data, np.uint8)
-    n = len(b)
-    space = np.ones(n + 2, np.int8)
+    space = np.ones(len(b) + 2, np.int8)
     space[1:-1] = (b == 32) | (b - np.uint8(9) < 5)
     edge = np.diff(space)
     starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
-    power, inverse = _powers_to(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    values = b[space[1:-1] == 0].astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
-        np.cumsum((b + np.uint64(1)) * power[:n], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * inverse[starts])
+        values *= _multipliers_to(int(sizes.max()))[place]
+        return mix64(np.add.reduceat(values, first))
 
 
 def byte_words(text: str | None) -> list[bytes]:
@@ -118,19 +129,24 @@ def byte_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two parts from theirs, in order; mixed at each join, so that nothing of it is a sum that could cancel."""
+    return mix64(a * np.uint64(0xD6E8FEB86659FD93) + b * np.uint64(0xA0761D6478BD642F) + np.uint64(0x8EBC6AF09C88C6E3))
+
+
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words, from the words' hashes; runs of equal words have equal hashes."""
+    """Hash of each run of n words, from the words' hashes, by doubling; runs of equal words have equal hashes."""
     with np.errstate(over="ignore"):
-        base, width, power = np.uint64(0x9E3779B97F4A7C15), 1, hashes
+        width, power = 1, hashes
         out, have = None, 0
         while True:
             if n & width:
                 shifted = power[have : len(power)]
-                out = power if out is None else out[: len(shifted)] * base ** np.uint64(width) + shifted[: len(out)]
+                out = power if out is None else _joined(out[: len(shifted)], shifted[: len(out)])
                 have += width
             if have == n:
                 return mix64(out[: max(0, len(hashes) - n + 1)])
-            power = power[:-width] * base ** np.uint64(width) + power[width:] if len(power) > width else power[:0]
+            power = _joined(power[:-width], power[width:]) if len(power) > width else power[:0]
             width *= 2
 
 
@@ -144,32 +160,36 @@ def spread(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.select("*", key).join(right.select("*", key), [*on, "__key"], how).drop("__key")
 
 
-def bloom(keys: DataFrame, key: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A filter of 2**bits bits over a long column. It never misses a key; the more keys, the more others it lets through.
+class Bloom:
+    """A filter over a column of 64-bit hashes, sized by their number. It never misses a key, and lets some others through.
 
-    The bits are or-ed on the executors by word of 64 bits, so that at most 2**bits / 64 rows reach the driver.
+    With BITS_A_KEY bits a key that is one other key in 70. Beyond 2**MOST_BITS bits the share rises, up to all of them:
+    filters only spare work, and whoever uses one must be right without it. The bits are or-ed on the executors by word of
+    64 bits, so that at most 2**MOST_BITS / 64 rows reach the driver.
     """
-    hashes = [_bloom_place(F.col(key), i, bits) for i in range(2)]
-    words = (
-        keys.select(F.explode(F.array(*hashes)).alias("at"))
-        .groupBy(F.shiftright("at", 6).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set"))
-    )
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    found = words.toArrow()
-    out[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
-    return out
-
-
-def _bloom_place(key: Column, i: int, bits: int) -> Column:
-    """The keys are hashes already: take two disjoint runs of their bits."""
-    return F.shiftright(key, 4 + i * 29).bitwiseAND(F.lit((1 << bits) - 1))
-
-
-def bloom_has(filter_: np.ndarray, keys: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
-    """Which of the keys (int64) may be in the filter."""
-    out = np.ones(len(keys), bool)
-    for i in range(2):
-        at = (keys >> np.int64(4 + i * 29)) & np.int64((1 << bits) - 1)
-        out &= (filter_[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
-    return out
+
+    def __init__(self, keys: DataFrame, key: str):
+        n = keys.count()
+        self.bits = min(max((BITS_A_KEY * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
+        places = [F.shiftright(key, 4 + i * 29).bitwiseAND(F.lit((1 << self.bits) - 1)) for i in range(2)]  # two disjoint runs of a key's bits
+        words = (
+            keys.select(F.explode(F.array(*places)).alias("at"))
+            .groupBy(F.shiftright("at", 6).cast("int").alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("set"))
+        )
+        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
+        found = words.toArrow()
+        self.words[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys (int64) may be in it."""
+        out = np.ones(len(keys), bool)
+        for i in range(2):
+            at = (keys >> np.int64(4 + i * 29)) & np.int64((1 << self.bits) - 1)
+            out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+        return out
+
+
+def bloom(keys: DataFrame, key: str):
+    """Broadcast Bloom filter of a column; `keys` is read twice and should be cut or cheap."""
+    return keys.sparkSession.sparkContext.broadcast(Bloom(keys, key))

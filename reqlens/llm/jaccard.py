@@ -5,7 +5,11 @@ n-grams. Hashing deals the n-grams into H + 1 segments, by a number of segments
 Then in one segment the two sets agree whole, and equal segment subsets are found by their hash. Where a segment's
 subset is empty or tiny, many sets share it; such a segment is left out by allocation: another one (the first), of
 which the index also holds all subsets with one n-gram deleted, is searched with one difference allowed, and the
-allowances still add up to more than H. Candidates are verified on the texts.
+allowances still add up to more than H.
+
+No pair of texts is ever a row. The texts of a key are compared in one task, in blocks of bounded size: first by small
+parity bitmaps, which tell exactly that two sets are too different, then by the n-grams themselves. What leaves a task is
+a spanning forest of the links found, at most one row a text and block.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reqlens.llm.common import bloom, bloom_has, cut, gram_hashes, mix64, ship, spread, word_hashes
+from reqlens.llm.common import bloom, cut, gram_hashes, mix64, ship, spread, word_hashes
 
 #: n-grams of a text, and the least similarity as a fraction.
 GRAM, SIMILAR = 3, (90, 100)
@@ -24,6 +28,10 @@ GRAM, SIMILAR = 3, (90, 100)
 ONE_TASK_EDGES = 1_000_000
 #: Segments with at most so many n-grams are left out, if another can be allowed a difference instead.
 TINY = 1
+#: Texts, and n-grams of texts, of a block: what one task compares comes from two blocks at most.
+BLOCK_TEXTS, BLOCK_GRAMS = 2048, 1_000_000
+#: Least and most bits of a parity bitmap.
+LEAST_BITMAP, MOST_BITMAP = 64, 8192
 
 
 def gram_set(text: str | None, gram: int) -> np.ndarray:
@@ -147,124 +155,238 @@ def components(edges: DataFrame, in_one_task: int = ONE_TASK_EDGES) -> DataFrame
         now = cut(small.distinct())
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, gram: int, similar: tuple[int, int]) -> DataFrame:
-    """Which pairs (u, v) of classes are similar, by the n-grams of their texts."""
-    left = spread(pairs, texts.select(F.col("c").alias("u"), F.col("text").alias("left")), ["u"])
-    both = spread(left, texts.select(F.col("c").alias("v"), F.col("text").alias("right")), ["v"])
+def parity_bitmap(grams: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of the n-grams fall on i. Two sets differ at least as often as their bitmaps do.
+
+    The bits are a power of two, two for each n-gram or more, up to a bound; a wider bitmap folds into a narrower one.
+    """
+    width = min(max(1 << (2 * len(grams) - 1).bit_length(), LEAST_BITMAP), MOST_BITMAP)
+    odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
 
-        def grams(c: int, text: pa.Scalar) -> np.ndarray:
-            if c not in kept:
-                if len(kept) > 64:
-                    kept.clear()
-                kept[c] = gram_set(text.as_py(), gram)
-            return kept[c]
+def _folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, all folded to the narrowest one's width."""
+    width = min(map(len, bitmaps))
+    out = np.empty((len(bitmaps), width // 8), np.uint64)
+    for i, b in enumerate(bitmaps):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, width // 8), axis=0)
+    return out
 
-        for batch in batches:
-            u, v, ok = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for a, b, left, right in zip(u, v, batch.column(2), batch.column(3)):
-                x, y = grams(a, left), grams(b, right)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(similar[1] * common >= similar[0] * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("u", "v", "left", "right").mapInArrow(check, "u long, v long")
+def forest(sizes: np.ndarray, near, similar: tuple[int, int], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that join the rows of a block into the components of all its links.
+
+    near(i, js) gives the least |i and j differ by| that is known for each of the rows js. A pair that is in one component
+    already needs no link and is not compared. side: only rows of different sides are compared.
+    """
+    num, den = similar
+    label, links = np.arange(len(sizes)), []
+    for i in range(len(sizes) - 1):
+        rest = label[i + 1 :] != label[i]
+        if side is not None:
+            rest &= side[i + 1 :] != side[i]
+        js = np.flatnonzero(rest) + i + 1
+        js = js[np.minimum(sizes[js], sizes[i]) * den >= np.maximum(sizes[js], sizes[i]) * num]
+        if len(js):
+            js = js[near(i, js) * (den + num) <= (sizes[js] + sizes[i]) * (den - num)]
+        if len(js):
+            others, first = np.unique(label[js], return_index=True)
+            links += [(i, int(js[f])) for f in first]
+            label[np.isin(label, others)] = label[i]
+    return links
+
+
+def bitmap_distance(bitmaps: list[bytes]):
+    rows = _folded(bitmaps)
+    return lambda i, js: np.bitwise_count(rows[js] ^ rows[i]).sum(1, dtype=np.int64)
+
+
+def gram_distance(sets: list[np.ndarray]):
+    """Sizes of the symmetric differences of sorted sets, for `forest`.
+
+    Sets are held as their differences to the n-grams that more than half of them have, so that near copies, of whatever
+    size, are short lists, and common n-grams are not met again for each pair.
+    """
+    g = len(sets)
+    if g == 2:
+        return lambda i, js: np.array([len(sets[0]) + len(sets[1]) - 2 * len(np.intersect1d(sets[0], sets[1], assume_unique=True))])
+    owner = np.repeat(np.arange(g), list(map(len, sets)))
+    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count > g // 2
+    kept = ~common[gram]
+    extra, extra_owner = gram[kept], owner[kept]
+    number = np.cumsum(common) - 1
+    has = np.zeros((int(common.sum()), g), bool)
+    has[number[gram[~kept]], owner[~kept]] = True
+    lacking, lacking_owner = np.nonzero(~has)
+    sizes = np.bincount(np.concatenate([extra_owner, lacking_owner]), minlength=g)  # of the differences
+    # an n-gram in one difference alone can't be shared
+    twice = count[extra] > 1
+    item = np.concatenate([extra[twice], lacking + len(count)])
+    who = np.concatenate([extra_owner[twice], lacking_owner])
+    by_item = np.argsort(item, kind="stable")
+    holders = who[by_item]
+    ids, starts, lengths = np.unique(item[by_item], return_index=True, return_counts=True)
+    place = np.searchsorted(ids, item)
+    by_row = np.argsort(who, kind="stable")
+    own = np.split(place[by_row], np.cumsum(np.bincount(who, minlength=g))[:-1])
+
+    def near(i: int, js: np.ndarray) -> np.ndarray:
+        n = lengths[own[i]]
+        at = np.repeat(starts[own[i]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(holders[at], minlength=g)
+        return sizes[i] + sizes[js] - 2 * shared[js]
+
+    return near
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Runs of rows with one value in a column by which the rows are sorted, whatever the batches' ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)] if len(key) else []
+        for a, z in zip(cuts, cuts[1:]):
+            if held and held[0].column(column)[0] != batch.column(column)[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(rows: DataFrame, key: str, blocks) -> DataFrame:
+    """Rows of a key dealt into tasks: `group`, `side`. A key of several blocks has a task for each pair of its blocks.
+
+    In the task of two different blocks their texts are of different sides; a task of one block has one side, null.
+    """
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("c", F.lit(5)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low != high, F.col("own") == high)
+    return rows.withColumn("group", F.xxhash64(key, low, high)).withColumn("side", side).drop("blocks", "own", "other")
+
+
+def _in_blocks(rows: DataFrame, gather, schema: str) -> DataFrame:
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(gather, schema)
+
 
+def _ends(c: np.ndarray, links: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(c[at[:, 0]]), pa.array(c[at[:, 1]])], ["u", "v"])
 
-def near_duplicates(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+
+def _sides(t: pa.Table) -> np.ndarray | None:
+    side = t.column("side").combine_chunks()
+    return None if side.null_count else side.to_numpy(zero_copy_only=False)
+
+
+def near_duplicates(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int] = SIMILAR, block_texts: int = BLOCK_TEXTS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """Groups of documents connected by links between texts whose word n-gram sets have Jaccard similarity num / den or more.
 
     Returns doc_id, key (hash of the text), n_shingles (size of its set) and component_id (least doc_id reachable by
     links, its own included). Null and empty texts have empty sets and no links; rows with a null id have no links and
     no component; repeated rows are equal sets; an empty table gives no rows; extra columns are not read.
 
-    Equal sets are one class, so that a group of copies costs as much as one text. Keys are counted first; those that
-    occur twice go into a Bloom filter of fixed size, and a second pass gives only the keys that it lets through.
-    Candidates are searched by rounds: of each key, every class is verified against the least one; after the links
-    found have joined most classes, the classes of a key that are still in different components are verified with each
-    other, and only those. A pair in one component already needs no link. Hot keys are split by `spread`.
+    Equal sets are one class, so that a group of copies costs as much as one text. One pass over the texts gives each
+    row's keys, class and bitmap. Keys that occur twice go into a Bloom filter, which spares the others the way to their
+    class; keys with the same classes count once. The classes of a key meet in blocks of `block_texts`: their bitmaps
+    leave those pairs whose sets may be similar, almost all of which are. Components of these are the clusters in which
+    the sets themselves, each once, are compared, in blocks of `block_grams` n-grams. Every link lies in a cluster, as its
+    ends share a key and their bitmaps can't rule it out. A key or cluster of b blocks sends each of its rows to b tasks.
     """
     ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = _edges(similar)
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                found = [keys_of(g, gram, similar, edges)[0] for t in batch.column(0).slice(start, 512) if len(g := gram_set(t.as_py(), gram))]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["k"])
-
-    named = rows.where("doc_id IS NOT NULL")
-    twice = named.select("text").mapInArrow(keys, "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    may = docs.sparkSession.sparkContext.broadcast(bloom(twice, "k"))
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _edges(similar)
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.slice(start, 512)
-                n, c, k, s, sizes = [], [], [], [], [0]
+                n, c, bits, k, searched, ends = [], [], [], [], [], [0]
                 for i, text in zip(part.column(0), part.column(2)):
                     grams = gram_set(text.as_py(), gram)
                     n.append(len(grams))
                     c.append(class_hash(grams))
-                    if len(grams) and i.is_valid:
-                        own, searched = keys_of(grams, gram, similar, edges)
-                        here = bloom_has(may.value, own)
-                        k.append(own[here])
-                        s.append(searched[here])
-                    sizes.append(sizes[-1] + (len(k[-1]) if len(grams) and i.is_valid else 0))
-                ends = pa.array(np.array(sizes, np.int32))
-                flat = [pa.array(np.concatenate(x)) if x else pa.array([], t) for x, t in ((k, pa.int64()), (s, pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in flat)], ["doc_id", "key", "n", "c", "keys", "searched"])
-
-    members = cut(rows.mapInArrow(shared, f"doc_id {id_type}, key long, n long, c long, keys array<long>, searched array<boolean>"))
+                    own, probes = keys_of(grams, gram, similar, edges) if len(grams) and i.is_valid else (np.zeros(0, np.int64), np.zeros(0, bool))
+                    k += [own[probes], own[~probes]]  # the searched ones first
+                    searched.append(int(probes.sum()))
+                    bits.append(parity_bitmap(grams) if len(own) else None)
+                    ends.append(ends[-1] + len(own))
+                keys = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(k) if k else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.binary()), pa.array(searched, pa.int32()), keys], ["doc_id", "key", "n", "c", "bits", "searched", "keys"])
+
+    members = cut(rows.mapInArrow(keyed, f"doc_id {id_type}, key long, n long, c long, bits binary, searched int, keys array<long>"))
     classes = cut(members.where("doc_id IS NOT NULL AND n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")))
-    each = members.where(F.size("keys") > 0).select("c", "n", F.explode(F.arrays_zip("keys", "searched")).alias("e")).select(F.col("e.keys").alias("k"), "c", F.col("e.searched").alias("searched"), "n")
-    found = each.groupBy("k", "c").agg(F.max("searched").alias("searched"), F.max("n").alias("n"))
-    centres = found.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max("searched").alias("any")).where("any AND low < high")
-    entries = cut(spread(found, centres.select("k", "low"), ["k"]))
-    num, den = similar
-    fits = (F.least("n", "m") * den >= F.greatest("n", "m") * num) & (F.col("searched") | F.col("other"))
-    centre = entries.where("c = low").select("k", F.col("n").alias("m"), F.col("searched").alias("other"))
-    first = spread(entries.where("c != low"), centre, ["k"]).where(fits).select(F.col("c").alias("u"), F.col("low").alias("v")).distinct()
-    first = cut(first)
-    # texts of the classes that are candidates at all
-    wanted = entries.select("c").distinct().join(classes, "c").select(F.xxhash64("rep").alias("h"))
-    have = docs.sparkSession.sparkContext.broadcast(bloom(wanted, "h"))
+    with_keys = members.where("size(keys) > 0").select("c", "n", "searched", "keys")
+    twice = cut(with_keys.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
+    may = bloom(twice, "k")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 512):
+                part = batch.slice(start, 512)
+                lists = part.column(3)
+                length = np.diff(lists.offsets.to_numpy())
+                keys, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(part)), length)
+                at = np.flatnonzero(may.value.has(keys))
+                place = at - (np.cumsum(length) - length)[row[at]]
+                row = row[at]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(place < part.column(2).to_numpy()[row])], ["k", "c", "n", "searched"])
+
+    found = with_keys.mapInArrow(shared, "k long, c long, n long, searched boolean").groupBy("k", "c").agg(F.max("searched").alias("searched"), F.max("n").alias("n"))
+    # keys with one class, and all but one of the keys with the same classes, have nothing to tell
+    mixed = [F.expr(f"bit_xor(xxhash64(c, searched, {seed}))").alias(f"x{seed}") for seed in (1, 2)]
+    groups = found.groupBy("k").agg(F.count(F.lit(1)).alias("g"), F.max("searched").alias("any"), *mixed).where("any AND g > 1")
+    entries = spread(found, groups.groupBy("g", "x1", "x2").agg(F.min("k").alias("k")).select("k", "g"), ["k"])
+    bits = members.where("bits IS NOT NULL").groupBy("c").agg(F.min("bits").alias("bits"))
+    dealt = _dealt(entries, "k", F.ceil(F.col("g") / block_texts)).join(bits, "c").select("group", "side", "c", "n", "searched", "bits")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_group(batches, "group"):
+            if len(t) < 2:
+                continue
+            c, searched = t.column("c").to_numpy(), t.column("searched").to_numpy()
+            distance = bitmap_distance(t.column("bits").to_pylist())
+            far = np.int64(1 << 40)  # a pair counts if one of the two is searched
+            near = lambda i, js: np.where(searched[i] | searched[js], distance(i, js), far)
+            links = forest(t.column("n").to_numpy(), near, similar, _sides(t))
+            if links:
+                yield _ends(c, links)
+
+    joined = components(_in_blocks(dealt, candidates, "u long, v long"))
+    joined = joined.select(F.col("node").alias("c"), "least")
+    clusters = cut(joined.unionByName(joined.select(F.col("least").alias("c"), "least").distinct()).join(classes, "c"))
+    have = bloom(clusters.select(F.xxhash64("rep").alias("h")), "h")
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.filter(pa.array(bloom_has(have.value, batch.column(0).to_numpy())))
+            part = batch.filter(pa.array(have.value.has(batch.column(0).to_numpy())))
             for start in range(0, len(part), 512):
-                text = part.column(1).slice(start, 512)
-                c = [class_hash(gram_set(t.as_py(), gram)) for t in text]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), text], ["c", "text"])
-
-    texts = named.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(chosen, "c long, text string")
-    texts = cut(texts.groupBy("c").agg(F.min("text").alias("text")).join(entries.select("c").distinct(), "c", "left_semi"))
-    links = cut(_verify(first, texts, gram, similar))
-    joined = components(links)
-    placed = spread(entries, joined.select(F.col("node").alias("c"), "least"), ["c"], "left").withColumn("at", F.coalesce("least", "c")).select("k", "c", "searched", "n", "at")
-    placed = cut(placed)
-    # of a key that is not one component yet, only classes outside its commonest component meet the others
-    sizes = placed.groupBy("k", "at").agg(F.count(F.lit(1)).alias("size"))
-    open_ = sizes.groupBy("k").agg(F.max_by("at", F.struct("size", "at")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("k", "main")
-    left = cut(spread(placed, open_, ["k"]))
-    right = left.select("k", F.col("c").alias("d"), F.col("searched").alias("other"), F.col("n").alias("m"), F.col("at").alias("bt"))
-    rest = spread(left.where("at != main"), right, ["k"]).where("at != bt").where(fits).select(F.greatest("c", "d").alias("u"), F.least("c", "d").alias("v")).distinct()
-    rest = rest.join(first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
-    more = _verify(rest, texts, gram, similar)
-    # what the first round joined stands for its links
-    whole = components(joined.select(F.col("node").alias("u"), F.col("least").alias("v")).unionByName(more))
-    named_least = whole.join(classes.withColumnRenamed("c", "node"), "node").select("least", "rep").unionByName(classes.join(whole.select(F.col("least").alias("c")).distinct(), "c").select(F.col("c").alias("least"), "rep"))
-    ids = named_least.groupBy("least").agg(F.min("rep").alias("id"))
-    placed_ids = spread(whole, ids, ["least"]).select(F.col("node").alias("c"), "id").unionByName(ids.select(F.col("least").alias("c"), "id"))
-    final = classes.join(placed_ids, "c", "left").select("c", F.coalesce("id", "rep").alias("component"))
+                sets = [gram_set(t.as_py(), gram) for t in part.column(1).slice(start, 512)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(class_hash, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["c", "grams"])
+
+    sets = rows.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(chosen, "c long, grams binary")
+    size = (F.octet_length("grams") / 8).alias("size")
+    sets = cut(sets.groupBy("c").agg(F.min("grams").alias("grams")).join(clusters.select("c", "least"), "c").withColumn("size", size))
+    totals = sets.groupBy("least").agg(F.greatest(F.ceil(F.sum("size") / block_grams), F.ceil(F.count(F.lit(1)) / block_texts)).alias("n_blocks"))
+    tasks = _dealt(spread(sets, totals, ["least"]), "least", F.col("n_blocks")).select("group", "side", "c", "grams")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_group(batches, "group"):
+            if len(t) < 2:
+                continue
+            own = [np.frombuffer(g.as_buffer(), np.uint64) for g in t.column("grams")]
+            links = forest(np.array(list(map(len, own))), gram_distance(own), similar, _sides(t))
+            if links:
+                yield _ends(t.column("c").to_numpy(), links)
+
+    whole = components(_in_blocks(tasks, verified, "u long, v long"))
+    ids = whole.select(F.col("node").alias("c"), "least").unionByName(whole.select(F.col("least").alias("c"), "least").distinct()).join(classes, "c")
+    least = ids.groupBy("least").agg(F.min("rep").alias("id"))
+    final = classes.join(spread(ids.select("c", "least"), least, ["least"]).select("c", "id"), "c", "left").select("c", F.coalesce("id", "rep").alias("component"))
     out = spread(members.select("doc_id", "key", "n", "c"), final, ["c"], "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), own.alias("component_id"))
@@ -273,13 +395,29 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int]
 def one_of_each(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Rows of docs, with all their columns, without near duplicates: of each group the document with the least id stays.
 
-    Rows without words and rows with a null id stay; of rows equal in id and text one stays.
+    Rows without words and rows with a null id stay; of rows equal in id and text one stays. Columns of docs must not be
+    named __id, __key or __both. Only rows that go, or stand repeated, are dealt out by id: a Bloom filter tells them
+    from the others, which pass as they are.
     """
-    groups = near_duplicates(docs, gram, similar)
-    stay = cut(groups.where("component_id = doc_id").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
-    kept = stay.select(F.col("doc_id").alias("__id"), F.col("key").alias("__text_key"))
-    rows = docs.withColumn("__key", F.xxhash64("text"))
-    out = rows.where("doc_id IS NOT NULL").join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left_semi")
-    if not stay.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "__key"])
-    return out.unionByName(rows.where("doc_id IS NULL")).drop("__key")
+    if taken := {"__id", "__key", "__both"} & set(docs.columns):
+        raise ValueError(f"columns of docs have reserved names: {sorted(taken)}")
+    groups = near_duplicates(docs, gram, similar).where("doc_id IS NOT NULL")
+    groups = groups.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("component_id") != F.col("doc_id")).alias("goes")).where("n > 1 OR goes")
+    groups = cut(groups.select(F.col("doc_id").alias("__id"), F.col("key").alias("__text_key"), "goes"))
+    may = bloom(groups.select(F.xxhash64("__id", "__text_key").alias("h")), "h")
+    rows = docs.withColumn("__key", F.xxhash64("text")).withColumn("__both", F.xxhash64("doc_id", "__key"))
+    at = rows.columns.index("__both")
+
+    def some(touched: bool):
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(may.value.has(batch.column(at).to_numpy()) == touched))
+
+        return pick
+
+    touched = rows.mapInArrow(some(True), rows.schema)
+    left = touched.join(groups, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__text_key")), "left")
+    # of repeated rows the first stays; rows that only look touched have no group and all stay
+    one = left.where("NOT coalesce(goes, false)").where("__id IS NOT NULL").drop("__id", "__text_key", "goes").dropDuplicates(["doc_id", "__key"])
+    none = left.where("__id IS NULL").drop("__id", "__text_key", "goes")
+    return rows.mapInArrow(some(False), rows.schema).unionByName(one).unionByName(none).drop("__key", "__both")

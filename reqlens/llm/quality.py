@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reqlens.llm.common import WORD_RE, bloom, bloom_has, ship
+from reqlens.llm.common import WORD_RE, bloom, ship
 
 #: Hashed n-grams: buckets, and the share of the raw multinomial that is mixed into the target's, at any size of either.
 BUCKET_BITS, MIXED = 16, 0.02
@@ -84,7 +84,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def ratio_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratio of target to raw probability for each bucket: raw over all rows of docs, target over all trusted ones.
 
-    Trusted rows are found by a join, for which only rows that pass a Bloom filter of fixed size are dealt out. Counts
+    Trusted rows are found by a join, for which only rows that pass a Bloom filter are dealt out. Counts
     are added up on the executors; 2**BUCKET_BITS rows reach the driver. A share of the raw distribution is mixed into
     the target, so that no weight is below log(MIXED); without trusted documents every weight is 0.
     """
@@ -92,11 +92,11 @@ def ratio_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     size = 1 << BUCKET_BITS
     rows = docs.select("doc_id", "text")
     good = trusted_ids(labels).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
-    may = docs.sparkSession.sparkContext.broadcast(bloom(good.select(F.xxhash64("doc_id").alias("h")), "h"))
+    may = bloom(good.select(F.xxhash64("doc_id").alias("h")), "h")
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(bloom_has(may.value, batch.column(2).to_numpy()))).select([0, 1])
+            yield batch.filter(pa.array(may.value.has(batch.column(2).to_numpy()))).select([0, 1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reqlens.llm.common import bloom, bloom_has, byte_words, cut, gram_hashes, mix64, ship, spread, word_hashes
+from reqlens.llm.common import bloom, byte_words, cut, gram_hashes, mix64, ship, spread, word_hashes
 
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 50, 16
@@ -71,7 +71,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
 
     seen = rows.select("doc_id", "text").mapInArrow(anchors, f"a long, doc_id {id_type}")
     shared = seen.groupBy("a").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a")
-    may = docs.sparkSession.sparkContext.broadcast(bloom(shared, "a"))
+    may = bloom(cut(shared), "a")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +80,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
                 out, owner, hashes = [], [], []
                 for i, text in enumerate(texts):
                     a, first, count, block, windows = blocks_of(word_hashes(_bytes(text)), window, anchor)
-                    for j in np.flatnonzero(bloom_has(may.value, a)) if len(a) else ():
+                    for j in np.flatnonzero(may.value.has(a)) if len(a) else ():
                         out.append((a[j], block[j], first[j], count[j]))
                         owner.append(i)
                         hashes.append(windows[first[j] : first[j] + count[j]].tobytes())
@@ -131,16 +131,16 @@ def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int =
     found = cut(find_spans(docs, window, anchor).select(F.col("doc_id").alias("__id"), F.col("key").alias("__text_key"), "spans"))
     rows = docs.select("doc_id", *keep, F.col("text").alias("__text"), F.xxhash64("text").alias("__row_key"), F.xxhash64("doc_id", F.xxhash64("text")).alias("__both"))
     # only texts that may have spans are dealt out for the join; a filter of fixed size tells them apart
-    may = docs.sparkSession.sparkContext.broadcast(bloom(found.select(F.xxhash64("__id", "__text_key").alias("h")), "h"))
+    may = bloom(found.select(F.xxhash64("__id", "__text_key").alias("h")), "h")
     n_keys = 1 + len(keep)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(bloom_has(may.value, batch.column(n_keys + 2).to_numpy())))
+            yield batch.filter(pa.array(may.value.has(batch.column(n_keys + 2).to_numpy())))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.filter(pa.array(~bloom_has(may.value, batch.column(n_keys + 2).to_numpy())))
+            part = batch.filter(pa.array(~may.value.has(batch.column(n_keys + 2).to_numpy())))
             for at in range(0, len(part), 512):
                 yield _left(part.slice(at, 512), [None] * min(512, len(part) - at))
 
