@@ -3,13 +3,15 @@
 A word of n symbols is held as n + 1 part boundaries and, beside each boundary, the rank of merging the part that
 starts there with the next one. The smallest rank is found by scanning, its right boundary is deleted, and only the
 ranks of the merged part and of its left neighbour are computed anew. Words are short, so that a scan over a small
-contiguous array is cheaper than a heap; each distinct word is merged once and kept.
+contiguous array is cheaper than a heap; each distinct word is merged once and kept. For the rare word of more than
+LONG_WORD symbols, where scans would add up to the square of its length, a heap holds the ranks; the merges are the same.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from heapq import heapify, heappop, heappush
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ from reqlens.llm.common import ship
 BATCH_ROWS, BATCH_CHARS = 512, 4_000_000
 #: Words kept with their pieces, for each Python worker.
 KEPT_WORDS = 300_000
+#: Symbols of a word from which on the ranks are held in a heap, and the word is not kept.
+LONG_WORD = 256
 _NONE = 1 << 60
 
 #: Letters whose lower case the vocabulary's library knows and Python 3.13 (Unicode 15.1) doesn't. Fixed values.
@@ -54,6 +58,8 @@ def merge_parts(symbols: list[str], rank_of) -> list[str]:
     n = len(symbols)
     if n < 2:
         return symbols
+    if n > LONG_WORD:
+        return _merge_long(symbols, rank_of)
     joined = "".join(symbols)
     bounds, at = [0] * (n + 1), 0
     for i, s in enumerate(symbols):
@@ -79,6 +85,28 @@ def merge_parts(symbols: list[str], rank_of) -> list[str]:
             ranks[i - 1] = rank(i - 1)
 
 
+def _merge_long(symbols: list[str], rank_of) -> list[str]:
+    """The merges of `merge_parts` with the pairs in a heap, by rank and place; pairs that have changed since are passed over."""
+    parts: list[str | None] = list(symbols)
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := rank_of((parts[i], parts[i + 1]), _NONE)) != _NONE]
+    heapify(heap)
+    while heap:
+        r, i = heappop(heap)
+        j = after[i]
+        if parts[i] is None or j == n or rank_of((parts[i], parts[j]), _NONE) != r:
+            continue
+        parts[i], parts[j] = parts[i] + parts[j], None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (r := rank_of((parts[a], parts[b]), _NONE)) != _NONE:
+                heappush(heap, (r, a))
+    return [p for p in parts if p is not None]
+
+
 class WordBPE:
     """A vocabulary file of the tokenizers library: NFC, white space, lower case; words; byte symbols; merges; no decoder."""
 
@@ -158,9 +186,11 @@ class _Pieces(dict):
         self.bpe, self.most = bpe, most
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = np.array(self.bpe.pieces(word), "<u4").tobytes()
+        value = np.array(self.bpe.pieces(word), "<u4").tobytes()
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -222,13 +252,13 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Texts of arrays of ids: the tokens joined by one space. Null arrays decode to ''; ids without a token to nothing."""
+    """Texts of arrays of ids: the tokens joined by one space. Null arrays decode to ''; null ids and ids without a token to nothing, not even a space."""
     schema = T.StructType([T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            texts = [" ".join(map(bpe.decoded.__getitem__, x or [])) for x in batch.column(1).to_pylist()]
+            texts = [" ".join(t for i in x or [] if (t := bpe.decoded[i])) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "decoded"])
 
     ship(encoded.sparkSession)
