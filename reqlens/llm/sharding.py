@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 RACK, REGION = 4, 8
 #: Numbering parts of each shard: a row's slot is its part's offset plus its place in the part.
 PARTS = 4096
+#: Equal rows that become rows again at once.
+RUN = 10_000
 #: Bytes that a row takes beside its text.
 ROW_BYTES = 16
 
@@ -64,26 +66,28 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     equal ids share a shard and get slots of their own; an empty table gives no rows. Columns of docs beside the id and
     the text are not read, whatever their names.
 
-    The texts are read once, by a narrow stage that keeps 28 bytes a row. Slots need no order over a whole shard: a row
-    gets a part by a hash of what it holds, the parts' counts (shards * parts rows at most, a fixed bound, broadcast)
-    give offsets, and only rows of one part are numbered in one task.
+    The texts are read once, by a narrow stage that keeps 28 bytes a row. Rows that are equal in all of these are one row
+    with a count until the end, so that no key is hot. Slots need no order over a whole shard: a row gets a part by a hash
+    of what it holds, the parts' counts (shards * parts rows at most, a fixed bound, broadcast) give offsets, and only
+    distinct rows of one part are numbered in one task. Counted rows are spread by RUN before they become rows again.
     """
     weights = weights or [1.0] * shards
     rows = docs.select(
         F.col(id_col),
         (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
     )
-    rows = descend(rows, F.col(id_col), weights, "shard")
-    rows = descend(rows, F.col(id_col), [*weights, weights[-1]], "grown_shard")
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64(id_col, "text_crc32", "size", F.lit(11)), F.lit(parts)).cast("int"))
-    counts = rows.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64(id_col, "text_crc32", "size", F.lit(11)), F.lit(parts)).cast("int")
+    rows = descend(rows, F.col(id_col), weights, "shard").withColumn("__part", part)
+    rows = rows.groupBy("shard", "__part", id_col, "text_crc32", "size").agg(F.count(F.lit(1)).alias("__n"))
+    counts = rows.groupBy("shard", "__part").agg(F.sum("__n").alias("n"))
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
-    place = Window.partitionBy("shard", "__part").orderBy(id_col, "text_crc32", "size")
-    return (
-        rows.withColumn("__place", F.row_number().over(place) - 1)
-        .join(F.broadcast(offsets), ["shard", "__part"])
-        .select(id_col, "size", "text_crc32", "law", "shard", (F.col("__offset") + F.col("__place")).cast("long").alias("slot"), "grown_shard")
-    )
+    earlier = Window.partitionBy("shard", "__part").orderBy(id_col, "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("__place", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).join(F.broadcast(offsets), ["shard", "__part"])
+    first = (F.col("__offset") + F.col("__place")).alias("__first")
+    runs = placed.select(id_col, "size", "text_crc32", "shard", first, "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(RUN).cast("long"))).alias("__run"))
+    slots = F.explode(F.sequence(F.col("__run"), F.least(F.col("__run") + RUN, F.col("__n")) - 1)).alias("__i")
+    out = runs.select("*", slots)
+    out = descend(out, F.col(id_col), [*weights, weights[-1]], "grown_shard")
+    return out.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__first") + F.col("__i")).cast("long").alias("slot"), "grown_shard")
