@@ -73,12 +73,14 @@ def thresholds(rows: DataFrame, needs: DataFrame, source_col: str = "source", le
         # at the last level a bucket is one hash: it is taken too if that comes nearer
         nearer = F.when(F.col("at.upto") - F.col("left") < F.col("left") - F.col("at.before"), 1).otherwise(0) if level == levels - 1 else F.lit(0)
         # a source whose rows all fit stays closed, with a bound above every hash that its prefix can have
+        # one row a source, cut at each level: the next would else carry the plans of all levels before it, twice
         state = passed.select(
             F.col("__s").alias(source_col),
             F.when(F.col("at").isNotNull(), F.col("left") - F.col("at.before")).otherwise(F.col("left")).alias("left"),
             F.when(F.col("at").isNotNull(), F.col("at.bucket") + nearer).otherwise(F.when(F.col("open"), (F.col("__p") + 1) * (1 << step)).otherwise(F.col("__p") * (1 << step))).alias("prefix"),
             (F.col("open") & F.col("at").isNotNull()).alias("open"),
         )
+        state = cut(state)
     return state.select(source_col, F.col("prefix").alias("threshold"))
 
 
@@ -128,8 +130,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """The rows of the mix of `mix_sources`, with all columns of docs, each as often as the mix takes it.
 
-    Names of docs' columns must not start with two underscores. The texts are not shuffled: a second read meets the thresholds.
+    Names of docs' columns may be any but __source, __copy and those that start with __doc_. The texts are not shuffled: a
+    second read meets the thresholds.
     """
+    if taken := [c for c in docs.columns if c in ("__source", "__copy") or c.startswith("__doc_")]:
+        raise ValueError(f"columns of docs have reserved names: {taken}")
     measured = _measured(docs, id_col, source_col, text_col)
     rows = cut(docs.select(id_col, source_col, *(v.alias(k) for k, v in measured.items())))
     plan = mix_plan(rows, source_col, weights, share, repeats)
