@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reqlens.llm import ann, bpe, html, jaccard, mixing, pu, quality, sharding, substring, urlfilter
+from reqlens.llm import ann, bpe, common, html, jaccard, mixing, pu, quality, sharding, substring, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,6 +61,33 @@ def test_bpe_equals_library(spark, corpus):
     assert all(r["decoded"] == tok.decode(tok.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, skip_special_tokens=False) for r in back)
 
 
+def test_long_words(spark):
+    """A word of any length ends in time, with the same pieces; unknown ids decode to nothing."""
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    tok = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdeé") for _ in range(n)) for n in (255, 256, 257, 258, 3000)] + ["a" * 5000, "ab" * 2000 + "é", "x" * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in bpe.bpe_encode(df, path).collect():
+        assert row["ids"] == tok.encode(texts[row["doc_id"]], add_special_tokens=False).ids
+    ids = spark.createDataFrame([(1, [10**9, None, *tok.encode("one two").ids, -1]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["decoded"] for r in bpe.bpe_decode(ids, path).collect()} == {1: tok.decode(tok.encode("one two").ids), 2: "", 3: ""}
+
+
+def test_long_merges_equal_short_ones():
+    rng = random.Random(9)
+    for _ in range(200):
+        word = [rng.choice("abc") for _ in range(rng.randint(2, 40))]
+        pieces = ["a", "b", "c"]
+        ranks = {}
+        for r in range(rng.randint(1, 12)):
+            pair = rng.choice(pieces), rng.choice(pieces)
+            ranks.setdefault(pair, r)
+            pieces.append("".join(pair))
+        assert bpe._merge_long(word, ranks.get) == bpe.merge_parts(word, ranks.get)
+
+
 def test_merge_order():
     ranks = {("a", "b"): 1, ("b", "c"): 0, ("a", "bc"): 2}
     assert bpe.merge_parts(list("abc"), ranks.get) == ["abc"]
@@ -191,6 +218,38 @@ def test_pu_classifier(spark):
     assert pu.pu_scores(frame(spark, rows).limit(0), df).count() == 0
 
 
+def test_pu_minimises_the_risk(spark):
+    """Scores are those of the weights that minimise the non-negative unbiased risk, found by another way from the texts."""
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randint(15, 90)) if i % 4 else " ".join(w + "#$" for w in prose(rng, 30).split()), "en", "s", 1) for i in range(240)]
+    rows += rows[:5]  # repeated rows count each
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(240) if i % 4 and i % 3 == 0], "doc_id long, quality int, toxic int")
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in pu.pu_scores(spark.createDataFrame(rows, DOCS), labels).collect())
+    good = {i for i in range(240) if i % 4 and i % 3 == 0 and zlib.crc32(str(i).encode()) % 4 != 2}
+    x = np.array([pu.features(t) for _, t, *_ in rows]) / 255
+    p = np.array([i in good for i, *_ in rows])
+    scale = max(1.0, pu.ENOUGH / p.sum())
+
+    def weights(prior):
+        for ridge in pu.RIDGES:
+            # least squares: the risk is a sum of squares over unlabelled rows and a linear term over positives
+            a = np.concatenate([x / np.sqrt(2 * len(x)), np.sqrt(ridge * scale) * np.eye(x.shape[1])])
+            w = np.linalg.solve(a.T @ a, prior * x[p].mean(0) - x.mean(0) / 2)
+            f = x @ w
+            if ((1 + f) ** 2).mean() / 4 - prior * ((1 + f[p]) ** 2).mean() / 4 >= 0:
+                return w, ridge
+        return w, ridge
+
+    first, _ = weights(0.5)
+    bins = pu._bin(x @ first)
+    prior = pu.class_prior(np.bincount(bins[p], minlength=pu.SCORE_BINS), np.bincount(bins, minlength=pu.SCORE_BINS))
+    w, ridge = weights(prior)
+    assert got == Counter((i, round(float(np.clip((f + 1) / 2, 0, 1)), 6)) for (i, *_), f in zip(rows, x @ w))
+    risk = lambda v: ((1 + x @ v) ** 2).mean() / 4 - prior * (x[p] @ v).mean() + ridge * scale * (v @ v) / 2
+    noise = np.random.default_rng(1).normal(size=(50, len(w))) * 1e-3
+    assert all(risk(w) <= risk(w + d) for d in noise)
+
+
 PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/x'>Menu</a></li></ul></nav><!-- <p>no</p> --><div class=\"ad\">Buy</div>%s<footer>&copy; foot</footer></body></html>"
 
 
@@ -234,13 +293,182 @@ def test_html_runs_go_where_a_container_is_only_mentioned(spark, mention):
     assert {r["page_id"]: r["text"] for r in html.extract_main_text(df).collect()} == dict(enumerate(texts)) | {9: shared}
 
 
-def test_suffix_runs():
-    tokens = np.array([1, 2, 3, 4, 9, 1, 2, 3, 4, 8])
-    at, rank = html.suffix_runs(tokens, np.full(10, 10), 4)
-    same = {int(a): int(r) for a, r in zip(at, rank)}
-    assert same[0] == same[5] and len(set(same.values())) == len(same) - 1
-    at, _ = html.suffix_runs(tokens, np.array([5] * 5 + [10] * 5), 4)
-    assert at.tolist() == [0, 1, 5, 6]
+def test_html_hints_are_decided_by_the_host(spark):
+    """What a name only hints at stays if it is unique on the host and goes if the host repeats it, whatever the structure says."""
+    rng = random.Random(6)
+    share = "Share this story with your friends on every network you know"
+    texts = [prose(rng, 30) for _ in range(5)]
+    page = '<article><h1 class="banner">Head {i}</h1><p class="social">Social policy {t}</p><p>{t}</p><div class="share">{share}</div><div class="ad">Buy {i}</div></article>'
+    rows = [(i, f"http://h.example/{i}", page.format(i=i, t=t, share=share)) for i, t in enumerate(texts)]
+    rows += [(9, "http://alone.example/", page.format(i=9, t=texts[0], share=share))]
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == f"Head {i}\nSocial policy {t}\n{t}"
+        assert got[i] != html.main_text(html.blocks_of(rows[i][2]))  # the suffix arrays changed this text
+    assert got[9] == f"Head 9\nSocial policy {texts[0]}\n{texts[0]}\n{share}"
+
+
+def brute_text(pages, run=html.RUN, min_pages=html.MIN_PAGES):
+    """Texts of pages without an article: every run of tokens is looked up on every distinct page of the host."""
+    out, hosts = {}, {}
+    for i, host, blocks in pages:
+        hosts.setdefault(host, {}).setdefault(tuple(blocks), []).append(i)
+    for distinct in hosts.values():
+        def runs(block):
+            w = block.split(" ")
+            return [(0, len(w), (len(w), *w))] if len(w) < run else [(k, run, tuple(w[k : k + run])) for k in range(len(w) - run + 1)]
+
+        on = Counter(r for blocks in distinct for r in {r for b in blocks for _, _, r in runs(b)})
+        for blocks, ids in distinct.items():
+            kept = []
+            for b in blocks:
+                w = b.split(" ")
+                gone = {k + j for k, n, r in runs(b) if on[r] >= min_pages for j in range(n)}
+                kept.append(" ".join(x for k, x in enumerate(w) if k not in gone))
+            for i in ids:
+                out[i] = "\n".join(k for k in kept if k)
+    return out
+
+
+@pytest.mark.parametrize("limit", [200_000, 60])
+def test_html_against_brute_force(spark, limit):
+    rng = random.Random(11)
+    pool = [prose(rng, rng.choice([2, 7, 8, 9, 20])) for _ in range(12)]
+    pages = []
+    for i in range(40):
+        blocks = [" ".join([rng.choice(pool), *rng.choices(["", prose(rng, 3)])]).strip() for _ in range(rng.randint(1, 5))] + [prose(rng, 12)]
+        pages.append((i, f"h{i % 3}.example", blocks))
+    pages += [(100 + i, "h0.example", pages[0][2]) for i in range(4)]
+    rows = [(i, f"http://{h}/{i}", "".join(f"<p>{b}</p>" for b in blocks)) for i, h, blocks in pages]
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_tokens=limit).collect()}
+    want = brute_text(pages)
+    assert got == want and any(got[i] != "\n".join(b) for i, _, b in pages)
+
+
+def test_suffix_array():
+    rng = random.Random(1)
+    for _ in range(200):
+        sizes = [rng.randint(1, 9) for _ in range(rng.randint(1, 6))]
+        tokens, ends = np.array([rng.randint(0, 2) for _ in range(sum(sizes))]), np.repeat(np.cumsum(sizes), sizes)
+        suffix = [tuple(tokens[i : ends[i]]) for i in range(len(tokens))]
+        order, common = html.suffix_array(tokens, ends)
+        assert [suffix[i] for i in order] == sorted(suffix)
+        shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert all(shared(suffix[a], suffix[b]) == c for a, b, c in zip(order, order[1:], common[1:]))
+        run = rng.randint(1, 4)
+        order, first, length = html.repeats(tokens, ends, run)
+        want = {}
+        for i, s in enumerate(suffix):
+            if len(s) >= run:
+                want.setdefault(s[:run], set()).add(i)
+        groups = np.split(order, first[1:]) if len(first) else []
+        assert {suffix[g[0]][:run]: set(g.tolist()) for g in groups} == want
+        for g, n in zip(groups, length):
+            assert n == (run if len(g) == 1 else min(shared(suffix[a], suffix[b]) for a in g for b in g if a != b))
+
+
+@pytest.mark.parametrize("junk", ["<article>", '<p x="', "</x>", "<a b='", "<div class=ad ", "<", "<!--", "&", "a<b ", "<p " + "x" * 50])
+def test_html_long_and_malformed(junk):
+    import time
+
+    began = time.perf_counter()
+    assert isinstance(html.main_text(html.blocks_of("<article><p>x " + junk * 60_000)), str)
+    assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize("source, expected", [
+    ('<article><p title="x>hello world</p><p>more</p></article>', "hello world\nmore"), ("<article><p title = \"a > b\" data-x='c>d'>t</p></article>", "t"), ('<article><p a"b>t</p></article>', "t"),
+    ("<article><p>a</p></div></section><p>b</article><p>c", "a\nb"),
+])
+def test_html_quotes_and_stray_tags(source, expected):
+    assert html.main_text(html.blocks_of(source)) == expected
+
+
+def thue_morse(n):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_a_regular_build_differ(spark):
+    """Such words have one value under any polynomial modulo 2**64: they must be neither copies nor duplicates."""
+    a, b = thue_morse(1024)
+    h = common.word_hashes(f"{a} {b} {a}".encode())
+    assert h[0] == h[2] and h[0] != h[1] and common.word_hashes(b" \n").size == 0
+    x, y = thue_morse(64)  # and runs of words
+    left, right = (common.gram_hashes(common.word_hashes(" ".join(w).encode()), 64) for w in (x, y))
+    assert left[0] != right[0]
+    rows = [(1, " ".join([a] * 60)), (2, " ".join([b] * 60)), (3, " ".join([a] * 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.remove_duplicate_spans(df).collect()} == {1: 0, 2: 0, 3: 60}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_bloom_grows_with_its_keys(spark):
+    small, large = (common.Bloom(spark.range(n).select(F.xxhash64("id").alias("h")), "h") for n in (10, 20_000))
+    assert small.bits == common.LEAST_BITS and large.bits == 19
+    keys = np.array([r["h"] for r in spark.range(20_000).select(F.xxhash64("id").alias("h")).collect()])
+    others = np.array([r["h"] for r in spark.range(10**6, 10**6 + 20_000).select(F.xxhash64("id").alias("h")).collect()])
+    assert large.has(keys).all() and large.has(others).mean() < 0.03 and not small.has(others).all()
+
+
+def words_of(rows):
+    return {i: WORD.findall(t or "") for i, t, *_ in rows if i is not None}
+
+
+def test_factors(spark, corpus):
+    """Factors don't overlap, are long enough, and are the words of a document with a smaller id at the place they name."""
+    rows = [r for k, r in enumerate(corpus) if r[0] != 4 or k == 4]
+    words = words_of(rows)
+    found = substring.factorise(frame(spark, rows)).collect()
+    assert found
+    by = {}
+    for r in found:
+        assert r["n_words"] >= 50 and r["ref_id"] < r["doc_id"]
+        assert words[r["doc_id"]][r["start"] : r["start"] + r["n_words"]] == words[r["ref_id"]][r["ref_start"] : r["ref_start"] + r["n_words"]]
+        by.setdefault(r["doc_id"], []).append((r["start"], r["start"] + r["n_words"]))
+    for spans in by.values():
+        spans.sort()
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    assert substring.factorise(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_parse_looks_at_factor_ends():
+    """Windows across the end of a factor come from another reference; the parse alone would leave them out."""
+    ref = lambda i, at, first, n: {"ref_id": i, "ref_start": first, "ref_lead": 0, "start": at, "count": n, "lead": 0, "windows": None}
+    factors, gone = substring.parse(None, [ref(1, 0, 100, 3), ref(2, 3, 7, 2)], 20, window=5)
+    assert factors == [(0, 7, 1, 100)] and gone.tolist() == [True] * 9 + [False] * 11
+    factors, gone = substring.parse(None, [ref(1, 0, 10, 4), ref(1, 4, 14, 4), ref(0, 2, 0, 3), ref(3, 12, 5, 1)], 20, window=5)
+    assert factors == [(0, 12, 1, 10), (12, 5, 3, 5)] and gone.tolist() == [True] * 17 + [False] * 3
+    mine, theirs = np.arange(16, dtype=np.uint64), np.array([50, 51, 4, 5, 6, 90], np.uint64)
+    factors, gone = substring.parse(mine, [{"ref_id": 1, "ref_start": 30, "ref_lead": 4, "start": 2, "count": 8, "lead": 4, "windows": theirs.tobytes()}], 20, window=5)
+    assert factors == [(4, 7, 1, 32)] and gone.nonzero()[0].tolist() == list(range(4, 11))
+
+
+def test_shared_passages_of_many_documents(spark):
+    """A passage in many documents, cut at different places, and chains in which each document takes from two others."""
+    rng = random.Random(21)
+    passage = prose(rng, 130).split()
+    rows = []
+    for i in range(80):
+        a = rng.randrange(0, 60)
+        z = a + rng.choice([48, 49, 50, 51, 70])
+        rows.append((i, " ".join([prose(rng, rng.randint(0, 20)), *passage[a:z], prose(rng, rng.randint(0, 20)), *(rows[rng.randrange(i)][1].split()[5:80] if i else [])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in substring.remove_duplicate_spans(df).collect()}
+    assert got == {i: (n, t) for i, n, t in brute_removed(rows)} and any(n for n, _ in got.values())
+
+
+def brute_removed(rows):
+    first: dict = {}
+    for i, t, *_ in rows:
+        w = WORD.findall(t or "")
+        for p in range(len(w) - 49):
+            k = tuple(w[p : p + 50])
+            first[k] = min(first.get(k, i), i)
+    for i, t, *_ in rows:
+        w = WORD.findall(t or "")
+        gone = {p + k for p in range(len(w) - 49) if first[tuple(w[p : p + 50])] < i for k in range(50)}
+        yield i, len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)
 
 
 def test_substring_dedup(spark, corpus):
@@ -298,12 +526,50 @@ def test_jaccard_join(spark, corpus, gram, similar):
     assert any(i != c for i, (_, c) in want.items())
 
 
+@pytest.mark.parametrize("gram, similar", [(3, (90, 100)), (5, (80, 100))])
+def test_jaccard_join_of_a_crowd_in_small_blocks(spark, gram, similar):
+    """Hundreds of texts that share most of their n-grams, some just similar and some just not, over many blocks."""
+    rng = random.Random(31)
+    base = prose(rng, 60).split()
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(len(words))] = prose(rng, 1) + "z"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(base[:20]) + " " + prose(rng, 40)) for i in range(30)]
+    want = brute_groups(rows, gram, similar)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for texts, grams in ((2048, 10**6), (16, 10**6), (64, 700)):
+        got = jaccard.near_duplicates(df, gram, similar, texts, grams).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert len({c for _, c in want.values()}) > 40
+
+
+def test_distances_are_exact():
+    rng = np.random.default_rng(5)
+    for g in (2, 3, 7, 40):
+        base = rng.integers(0, 2**63, 50).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(50) < 0.8], rng.integers(0, 60, rng.integers(0, 9)).astype(np.uint64)])) for _ in range(g)]
+        bitmaps = jaccard.bitmap_distance([jaccard.parity_bitmap(x) for x in sets])
+        near, all_ = jaccard.gram_distance(sets), np.arange(g)
+        for i in range(g - 1):
+            js = all_[i + 1 :]
+            true = [len(np.setxor1d(sets[i], sets[j])) for j in js]
+            assert near(i, js).tolist() == true and (bitmaps(i, js) <= true).all()
+    wide, small = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (900, 60))
+    assert jaccard.bitmap_distance([jaccard.parity_bitmap(wide), jaccard.parity_bitmap(small)])(0, np.array([1]))[0] <= 960
+
+
 def test_one_of_each(spark, corpus):
     want = brute_groups(corpus, 5, (80, 100))
     got = jaccard.one_of_each(frame(spark, corpus), 5, (80, 100))
     ids = Counter(r["doc_id"] for r in got.collect())
     assert got.columns == frame(spark, corpus).columns
     assert ids == Counter({i: 1 for i, (_, c) in want.items() if i == c}) + Counter({None: 2})
+    assert jaccard.one_of_each(frame(spark, corpus).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        jaccard.one_of_each(frame(spark, corpus).withColumn("__key", F.lit(1)))
 
 
 def test_pigeonhole_keys():
@@ -350,6 +616,34 @@ def test_sharding(spark, corpus):
     assert sharding.shard_rows(frame(spark, rows).limit(0)).count() == 0
 
 
+def spark_hash(key, leaf, seed):
+    """Spark's xxhash64 of a long and two ints: each column's hash seeds the next one's."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    if key is not None:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+    for x in (leaf, seed):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", x), h)
+    return h
+
+
+def test_shards_against_independent_draws(spark, corpus):
+    """The leaf with the least draw of all is the leaf of the descent; equal rows, however many, get slots of their own."""
+    rows = corpus + [(i, "t", "en", "s", 1) for i in range(1000, 1300)] + [(7777, "same", "en", "s", 1)] * 25_000
+    got = sharding.shard_rows(spark.createDataFrame(rows, DOCS)).collect()
+    draw = lambda key, leaf: -math.log(((spark_hash(key, leaf, 7) >> 11) + 0.5) * 2.0**-53)
+    least = {key: [min(range(n), key=lambda leaf: draw(key, leaf)) for n in (40, 41)] for key in {r["doc_id"] for r in got}}
+    assert all([r["shard"], r["grown_shard"]] == least[r["doc_id"]] for r in got)
+    for s in range(40):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    assert len(got) == len(rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+
+
 def test_descent_confines_movement(spark):
     ids = spark.range(6000)
     base = [1.0] * 24
@@ -382,6 +676,32 @@ def test_url_filters(spark):
     assert held == [("evil.com", "2024-01-10", "2024-02-01"), ("evil.com", "2024-03-01", "None"), ("net", "2024-01-20", "None"), ("x.net/p?q=1", "2024-01-05", "None")]
 
 
+def test_url_filters_relisted_and_empty(spark):
+    """Entries that come and go again, against a scan of all intervals; and empty tables on either side."""
+    rng = random.Random(12)
+    day = lambda n: f"2024-{1 + n // 28:02d}-{1 + n % 28:02d}"
+    names = [("domain", "a.com"), ("host", "x.a.com"), ("url", "x.a.com/p"), ("domain", "b.org")]
+    events = [(k, e, day(rng.randrange(200)), rng.choice(["add", "remove"])) for k, e in names for _ in range(25)]
+    captures = [(i, rng.choice(["http://x.a.com/p", "http://y.a.com/", "http://b.org", "http://c.org/"]), day(rng.randrange(220))) for i in range(150)] + [(150 + i, "http://x.a.com/p", day(100)) for i in range(50)]
+    lists = spark.createDataFrame(events, "kind string, entry string, day string, action string").selectExpr("kind", "entry", "CAST(day AS date) AS listed_on", "action")
+    pages = spark.createDataFrame(captures, "page_id long, url string, fetched_on string")
+    state = {}
+    for k, e in names:
+        last, on = [], False
+        for d in sorted({d for a, b, d, _ in events if (a, b) == (k, e)}):
+            now = all(x == "add" for a, b, c, x in events if (a, b, c) == (k, e, d))
+            if now != on:
+                last.append((d, now))
+            on = now
+        state[k, e] = last
+    got = {r["page_id"]: r["n_entries"] for r in urlfilter.filter_urls(pages, lists).collect()}
+    hits = {"http://x.a.com/p": names[:3], "http://y.a.com/": names[:1], "http://b.org": names[3:], "http://c.org/": []}
+    active = lambda n, d: next((on for at, on in reversed(state[n]) if at <= d), False)
+    assert got == {i: sum(active(n, d) for n in hits[u]) for i, u, d in captures} and len(set(got.values())) > 2
+    assert urlfilter.filter_urls(pages.limit(0), lists).count() == 0
+    assert {r["blocked"] for r in urlfilter.filter_urls(pages, lists.limit(0)).collect()} == {False}
+
+
 def vectors(n, seed=1, dims=8):
     rng = np.random.default_rng(seed)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=dims)]) for i in range(n)]
@@ -412,6 +732,20 @@ def test_nearest_of_ids_with_many_vectors(spark, shards):
     assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == sorted(least.items(), key=lambda x: (x[1], x[0]))[:10]
 
 
+def test_nearest_skips_cells(spark):
+    """Clustered vectors: the second round reaches few cells, and the result is that of all of them, ties and crowds too."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 6)) * 50
+    points = np.concatenate([centres[rng.integers(0, 30, 900)] + rng.normal(size=(900, 6)), np.repeat(centres[:1], 500, axis=0)])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 50 = 0"), k=10, shard_rows=100, least_shards=20, block_rows=7).collect()
+    for q in range(0, len(rows), 50):
+        d = np.sqrt(reduce(add, [(points[:, j] - points[q, j]) ** 2 for j in range(6)]))
+        want = sorted((x, i) for i, x in enumerate(d.tolist()) if i != q)[:10]
+        assert sorted((r["rank"], r["score"], r["vec_id"]) for r in got if r["query_id"] == q) == [(k + 1, s, i) for k, (s, i) in enumerate(want)]
+
+
 def test_pruning_factor():
     rng = np.random.default_rng(3)
     points = rng.normal(size=(3000, 6))
