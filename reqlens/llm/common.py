@@ -124,11 +124,6 @@ def _word_hashes(data: bytes) -> np.ndarray:
         return mix64(np.add.reduceat(values, first))
 
 
-def byte_words(text: str | None) -> list[bytes]:
-    """Words of a text in UTF-8: bytes are split at ASCII white space only."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of two parts from theirs, in order; mixed at each join, so that nothing of it is a sum that could cancel."""
     return mix64(a * np.uint64(0xD6E8FEB86659FD93) + b * np.uint64(0xA0761D6478BD642F) + np.uint64(0x8EBC6AF09C88C6E3))
@@ -150,6 +145,19 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
             width *= 2
 
 
+def renamed(docs: DataFrame, *kept: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but the kept ones named c0, c1, ..., and their old names by the new ones: nothing can clash."""
+    names = {f"c{i}": c for i, c in enumerate(docs.columns) if c not in kept}
+    new = {c: n for n, c in names.items()}
+    return docs.select(*(F.col(f"`{c}`").alias(new.get(c, c)) for c in docs.columns)), names
+
+
+def restored(rows: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
+    """The columns of a frame that `renamed` has been given, under their old names and in their order."""
+    new = {c: n for n, c in names.items()}
+    return rows.select(*(F.col(new.get(c, c)).alias(c) for c in columns))
+
+
 def spread(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which Spark may split the rows of a hot key over tasks.
 

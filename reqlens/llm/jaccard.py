@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reqlens.llm.common import bloom, cut, gram_hashes, mix64, ship, spread, word_hashes
+from reqlens.llm.common import bloom, cut, gram_hashes, mix64, renamed, restored, ship, spread, word_hashes
 
 #: n-grams of a text, and the least similarity as a fraction.
 GRAM, SIMILAR = 3, (90, 100)
@@ -395,17 +395,16 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int]
 def one_of_each(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Rows of docs, with all their columns, without near duplicates: of each group the document with the least id stays.
 
-    Rows without words and rows with a null id stay; of rows equal in id and text one stays. Columns of docs must not be
-    named __id, __key or __both. Only rows that go, or stand repeated, are dealt out by id: a Bloom filter tells them
-    from the others, which pass as they are.
+    Rows without words and rows with a null id stay; of rows equal in id and text one stays; an empty table gives no rows;
+    columns may have any names. Only rows that go, or stand repeated, are dealt out by id: a Bloom filter tells them from
+    the others, which pass as they are.
     """
-    if taken := {"__id", "__key", "__both"} & set(docs.columns):
-        raise ValueError(f"columns of docs have reserved names: {sorted(taken)}")
     groups = near_duplicates(docs, gram, similar).where("doc_id IS NOT NULL")
     groups = groups.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("component_id") != F.col("doc_id")).alias("goes")).where("n > 1 OR goes")
     groups = cut(groups.select(F.col("doc_id").alias("__id"), F.col("key").alias("__text_key"), "goes"))
     may = bloom(groups.select(F.xxhash64("__id", "__text_key").alias("h")), "h")
-    rows = docs.withColumn("__key", F.xxhash64("text")).withColumn("__both", F.xxhash64("doc_id", "__key"))
+    plain, names = renamed(docs, "doc_id", "text")
+    rows = plain.withColumn("__key", F.xxhash64("text")).withColumn("__both", F.xxhash64("doc_id", "__key"))
     at = rows.columns.index("__both")
 
     def some(touched: bool):
@@ -420,4 +419,4 @@ def one_of_each(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int] = SI
     # of repeated rows the first stays; rows that only look touched have no group and all stay
     one = left.where("NOT coalesce(goes, false)").where("__id IS NOT NULL").drop("__id", "__text_key", "goes").dropDuplicates(["doc_id", "__key"])
     none = left.where("__id IS NULL").drop("__id", "__text_key", "goes")
-    return rows.mapInArrow(some(False), rows.schema).unionByName(one).unionByName(none).drop("__key", "__both")
+    return restored(rows.mapInArrow(some(False), rows.schema).unionByName(one).unionByName(none), names, docs.columns)

@@ -130,15 +130,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """The rows of the mix of `mix_sources`, with all columns of docs, each as often as the mix takes it.
 
-    Names of docs' columns may be any but __source, __copy and those that start with __doc_. The texts are not shuffled: a
-    second read meets the thresholds.
+    Nulls, empty texts, repeated rows and an empty table are as there; columns may have any names. The texts are not
+    shuffled: a second read meets the thresholds.
     """
-    if taken := [c for c in docs.columns if c in ("__source", "__copy") or c.startswith("__doc_")]:
-        raise ValueError(f"columns of docs have reserved names: {taken}")
     measured = _measured(docs, id_col, source_col, text_col)
     rows = cut(docs.select(id_col, source_col, *(v.alias(k) for k, v in measured.items())))
     plan = mix_plan(rows, source_col, weights, share, repeats)
-    names = [F.col(c).alias(f"__doc_{c}") for c in docs.columns]
+    names = [F.col(f"`{c}`").alias(f"__doc_{i}") for i, c in enumerate(docs.columns)]
     carried = docs.select(*names, F.col(source_col), *(v.alias(k) for k, v in measured.items()))
     taken = _with_copies(carried, plan, source_col, repeats).where("copies > 0")
-    return taken.select(*(f"__doc_{c}" for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select(*(F.col(f"__doc_{c}").alias(c) for c in docs.columns))
+    each = taken.select(*(f"__doc_{i}" for i in range(len(names))), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
+    return each.select(*(F.col(f"__doc_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reqlens.llm.common import WORD_RE, bloom, ship
+from reqlens.llm.common import WORD_RE, bloom, renamed, restored, ship
 
 #: Hashed n-grams: buckets, and the share of the raw multinomial that is mixed into the target's, at any size of either.
 BUCKET_BITS, MIXED = 16, 0.02
@@ -138,7 +138,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """
     ship(docs.sparkSession)
     weights = ratio_weights(docs, labels)
-    source = docs if keep_rows else docs.select("doc_id", "text")
+    plain, old = renamed(docs, "doc_id", "text")
+    source = plain if keep_rows else docs.select("doc_id", "text")
     at = source.columns.index("text")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = source.schema if keep_rows else T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in names), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("score", T.DoubleType())])
@@ -157,4 +158,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names, "base_failed", "kept", "score"])
 
-    return source.mapInArrow(judge, schema)
+    out = source.mapInArrow(judge, schema)
+    return restored(out, old, docs.columns) if keep_rows else out

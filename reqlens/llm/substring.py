@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reqlens.llm.common import bloom, cut, gram_hashes, mix64, ship, spread, word_hashes
+from reqlens.llm.common import bloom, cut, gram_hashes, mix64, renamed, restored, ship, spread, word_hashes
 
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 50, 16
@@ -228,6 +228,20 @@ def factorise(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
     return rows.select("doc_id", "key", "text", "refs").mapInArrow(factors, f"doc_id {id_type}, key long, start int, n_words int, ref_id {id_type}, ref_start int")
 
 
+def without_duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, length_col: str = "n_chars") -> DataFrame:
+    """docs, with all columns, where texts lose the words that `remove_duplicate_spans` takes; others stay as they are.
+
+    length_col, if docs has it, becomes the length of a text that lost words. Nulls, empty texts, repeated rows and an
+    empty table are as there; columns may have any names.
+    """
+    plain, names = renamed(docs, "doc_id", "text")
+    left = remove_duplicate_spans(plain, window, anchor, tuple(names), rejoin=False)
+    for new, old in names.items():
+        if old == length_col:
+            left = left.withColumn(new, F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema[old].dataType)).otherwise(F.col(new)))
+    return restored(left, names, docs.columns)
+
+
 def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, keep: tuple[str, ...] = (), rejoin: bool = True) -> DataFrame:
     """Texts without the words covered by a window whose words also start in a document with a smaller id.
 

@@ -1,9 +1,8 @@
-"""The corpus queries against their SQL on the smallest tables, and the pipeline."""
+"""The corpus queries against their SQL on the smallest tables."""
 
 import duckdb
 import pytest
 
-import corpus_pipeline
 from reqlens.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -19,14 +18,3 @@ def test_matches_sql(spark, name):
     picked = ", ".join(f'"{c}"' for c in columns)
     rows = lambda x: sorted(tuple(map(str, r)) for r in x)
     assert rows(got.select(*columns).collect()) == rows(con.sql(f"SELECT {picked} FROM ({ORACLE_SQL[name]})").fetchall())
-
-
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    out = corpus_pipeline.run(spark, DATA)
-    assert out.columns == ["doc_id", "n_tokens", "ids"] and 0 < out.count() <= 2 * docs.count()
-    assert all(len(r["ids"]) == r["n_tokens"] for r in out.collect())
-    step = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        step = stage(spark, step, DATA)
-        assert step.dtypes == docs.dtypes

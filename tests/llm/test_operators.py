@@ -568,8 +568,6 @@ def test_one_of_each(spark, corpus):
     assert got.columns == frame(spark, corpus).columns
     assert ids == Counter({i: 1 for i, (_, c) in want.items() if i == c}) + Counter({None: 2})
     assert jaccard.one_of_each(frame(spark, corpus).limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        jaccard.one_of_each(frame(spark, corpus).withColumn("__key", F.lit(1)))
 
 
 def test_pigeonhole_keys():
