@@ -11,9 +11,13 @@ def stage(df: DataFrame) -> DataFrame:
     """df computed once. Later stages read its columns instead of the expressions behind them, which the optimizer would
     otherwise copy into every filter above; and a lost executor costs no recomputation of them.
 
-    The folder is the one that the session names in spark.checkpoint.dir; only where none is named (tests) a temporary one.
+    The folder is the one that the session names in spark.checkpoint.dir. Only in local mode (tests) a temporary one will
+    do; on a cluster, which could not share it, a missing folder is an error.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reqlens-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="reqlens-checkpoint-"))
     return df.checkpoint()
