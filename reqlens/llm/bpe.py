@@ -23,7 +23,7 @@ from reqlens.llm.common import ship
 #: Rows of an output batch, and characters of text after which a batch ends early.
 BATCH_ROWS, BATCH_CHARS = 512, 4_000_000
 #: Words kept with their pieces, for each Python worker.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: Symbols of a word from which on the ranks are held in a heap, and the word is not kept.
 LONG_WORD = 256
 _NONE = 1 << 60

@@ -17,6 +17,11 @@ WORD_RE = re.compile(WORD_PATTERN)
 BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 16, 28
 
 
+#: Bytes of a batch of rows for Python; the setting, and its default, which is what is replaced.
+BATCH_BYTES = "8m"
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -44,10 +49,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application: they need not find it on a path of their own."""
+    """Send this package to the executors, once for each application: they need not find it on a path of their own.
+
+    Rows hold whole texts, and every worker's batch lies outside the JVM's heap, twice while it grows: unless the session
+    says otherwise, batches for Python are kept to BATCH_BYTES.
+    """
     import zipfile
     from pathlib import Path
 
+    if spark.conf.get(_BATCH_SETTING, None) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_reqlens_shipped", False):
         return

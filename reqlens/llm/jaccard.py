@@ -158,9 +158,9 @@ def components(edges: DataFrame, in_one_task: int = ONE_TASK_EDGES) -> DataFrame
 def parity_bitmap(grams: np.ndarray) -> bytes:
     """Bit i: whether an odd number of the n-grams fall on i. Two sets differ at least as often as their bitmaps do.
 
-    The bits are a power of two, two for each n-gram or more, up to a bound; a wider bitmap folds into a narrower one.
+    The bits are a power of two, one for each n-gram or more, up to a bound; a wider bitmap folds into a narrower one.
     """
-    width = min(max(1 << (2 * len(grams) - 1).bit_length(), LEAST_BITMAP), MOST_BITMAP)
+    width = min(max(1 << (len(grams) - 1).bit_length(), LEAST_BITMAP), MOST_BITMAP)
     odd = np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -289,9 +289,9 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int]
     links, its own included). Null and empty texts have empty sets and no links; rows with a null id have no links and
     no component; repeated rows are equal sets; an empty table gives no rows; extra columns are not read.
 
-    Equal sets are one class, so that a group of copies costs as much as one text. One pass over the texts gives each
-    row's keys, class and bitmap. Keys that occur twice go into a Bloom filter, which spares the others the way to their
-    class; keys with the same classes count once. The classes of a key meet in blocks of `block_texts`: their bitmaps
+    Equal sets are one class, so that a group of copies costs as much as one text. A first pass over the texts gives the
+    keys, which are counted. Those that occur twice go into a Bloom filter, and a second pass gives each row's class and
+    bitmap and the keys that the filter lets through; keys with the same classes count once. The classes of a key meet in blocks of `block_texts`: their bitmaps
     leave those pairs whose sets may be similar, almost all of which are. Components of these are the clusters in which
     the sets themselves, each once, are compared, in blocks of `block_grams` n-grams. Every link lies in a cluster, as its
     ends share a key and their bitmaps can't rule it out. A key or cluster of b blocks sends each of its rows to b tasks.
@@ -300,43 +300,43 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int]
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = _edges(similar)
+    def keys(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return keys_of(grams, gram, similar, _edges(similar))
+
+    def all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 512):
+                found = [keys(x)[0] for t in batch.column(0).slice(start, 512) if len(x := gram_set(t.as_py(), gram))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["k"])
+
+    named = rows.where("doc_id IS NOT NULL").select("doc_id", "text")
+    twice = cut(named.select("text").mapInArrow(all_keys, "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
+    may = bloom(twice, "k")
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.slice(start, 512)
                 n, c, bits, k, searched, ends = [], [], [], [], [], [0]
                 for i, text in zip(part.column(0), part.column(2)):
-                    grams = gram_set(text.as_py(), gram)
-                    n.append(len(grams))
-                    c.append(class_hash(grams))
-                    own, probes = keys_of(grams, gram, similar, edges) if len(grams) and i.is_valid else (np.zeros(0, np.int64), np.zeros(0, bool))
+                    x = gram_set(text.as_py(), gram)
+                    own, probes = keys(x) if len(x) and i.is_valid else (np.zeros(0, np.int64), np.zeros(0, bool))
+                    here = may.value.has(own)
+                    own, probes = own[here], probes[here]
+                    n.append(len(x))
+                    c.append(class_hash(x))
+                    bits.append(parity_bitmap(x) if len(own) else None)
                     k += [own[probes], own[~probes]]  # the searched ones first
                     searched.append(int(probes.sum()))
-                    bits.append(parity_bitmap(grams) if len(own) else None)
                     ends.append(ends[-1] + len(own))
-                keys = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(k) if k else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.binary()), pa.array(searched, pa.int32()), keys], ["doc_id", "key", "n", "c", "bits", "searched", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(k) if k else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.binary()), pa.array(searched, pa.int32()), lists], ["doc_id", "key", "n", "c", "bits", "searched", "keys"])
 
-    members = cut(rows.mapInArrow(keyed, f"doc_id {id_type}, key long, n long, c long, bits binary, searched int, keys array<long>"))
+    members = cut(rows.mapInArrow(described, f"doc_id {id_type}, key long, n long, c long, bits binary, searched int, keys array<long>"))
     classes = cut(members.where("doc_id IS NOT NULL AND n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")))
-    with_keys = members.where("size(keys) > 0").select("c", "n", "searched", "keys")
-    twice = cut(with_keys.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
-    may = bloom(twice, "k")
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.slice(start, 512)
-                lists = part.column(3)
-                length = np.diff(lists.offsets.to_numpy())
-                keys, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(part)), length)
-                at = np.flatnonzero(may.value.has(keys))
-                place = at - (np.cumsum(length) - length)[row[at]]
-                row = row[at]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(place < part.column(2).to_numpy()[row])], ["k", "c", "n", "searched"])
-
-    found = with_keys.mapInArrow(shared, "k long, c long, n long, searched boolean").groupBy("k", "c").agg(F.max("searched").alias("searched"), F.max("n").alias("n"))
+    found = members.select("c", "n", "searched", F.posexplode("keys").alias("at", "k")).select("k", "c", "n", (F.col("at") < F.col("searched")).alias("searched"))
+    found = found.groupBy("k", "c").agg(F.max("searched").alias("searched"), F.max("n").alias("n"))
     # keys with one class, and all but one of the keys with the same classes, have nothing to tell
     mixed = [F.expr(f"bit_xor(xxhash64(c, searched, {seed}))").alias(f"x{seed}") for seed in (1, 2)]
     groups = found.groupBy("k").agg(F.count(F.lit(1)).alias("g"), F.max("searched").alias("any"), *mixed).where("any AND g > 1")
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame, gram: int = GRAM, similar: tuple[int, int]
                 sets = [gram_set(t.as_py(), gram) for t in part.column(1).slice(start, 512)]
                 yield pa.RecordBatch.from_arrays([pa.array(map(class_hash, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["c", "grams"])
 
-    sets = rows.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(chosen, "c long, grams binary")
+    sets = named.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(chosen, "c long, grams binary")
     size = (F.octet_length("grams") / 8).alias("size")
     sets = cut(sets.groupBy("c").agg(F.min("grams").alias("grams")).join(clusters.select("c", "least"), "c").withColumn("size", size))
     totals = sets.groupBy("least").agg(F.greatest(F.ceil(F.sum("size") / block_grams), F.ceil(F.count(F.lit(1)) / block_texts)).alias("n_blocks"))

@@ -98,7 +98,7 @@ def ratio_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         for batch in batches:
             yield batch.filter(pa.array(may.value.has(batch.column(2).to_numpy()))).select([0, 1])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], of: str) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.int64)
         for batch in batches:
             for text in batch.column(0):
@@ -108,12 +108,14 @@ def ratio_weights(docs: DataFrame, labels: DataFrame) -> np.ndarray:
                 else:
                     np.add.at(counts, at, 1)
         here = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(counts[here])], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(counts[here])], names=["bucket", of])
 
-    trusted = rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(possible, rows.schema).join(good, "doc_id", "left_semi")
+    # a shuffle join in any case: a broadcast one would put two Python workers for each core side by side
+    trusted = rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(possible, rows.schema).join(good.hint("merge"), "doc_id", "left_semi")
     zero = F.lit(0).cast("long")
-    counted = rows.select("text").mapInArrow(count, "bucket int, n long").select("bucket", F.col("n").alias("raw"), zero.alias("target"))
-    counted = counted.unionByName(trusted.select("text").mapInArrow(count, "bucket int, n long").select("bucket", zero.alias("raw"), F.col("n").alias("target")))
+    raw = rows.select("text").mapInArrow(lambda b: count(b, "raw"), "bucket int, raw long").select("bucket", "raw", zero.alias("target"))
+    target = trusted.select("text").mapInArrow(lambda b: count(b, "target"), "bucket int, target long").select("bucket", zero.alias("raw"), "target")
+    counted = raw.unionByName(target)
     sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(size), np.zeros(size)
     raw[sums["bucket"].to_numpy()], target[sums["bucket"].to_numpy()] = sums["raw"].to_numpy(), sums["target"].to_numpy()
