@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 from reqlens import lexicon as L
 from reqlens.functions import text as X
 
+ANSWER_FIELDS = "label:string,confidence:double,matched_aspects:array<string>,missing_aspects:array<string>,conflict_aspects:array<string>,cited_phrases:array<string>,explanation:string"
+ANSWER_ITEM = f"struct<index:int,{ANSWER_FIELDS}>"
 CONSTRAINTS = "array<struct<kind:string,operator:string,value:double,unit:string>>"
 
 
@@ -264,3 +266,70 @@ def split_compound(c: Column, markers=L.LIST_MARKERS) -> Column:
 
     found = X.let(colon, lambda at: F.when((at > 0) & (at < F.length(text)), X.let(parts_of(at), items)))
     return F.coalesce(found, F.array(text))
+
+
+def legacy_type(c: Column) -> Column:
+    """EXT-4: the first of six types with a keyword in the text, else 'other'."""
+    out = F.lit("other")
+    for kind, needles in reversed(L.TYPE_KEYWORDS):
+        out = F.when(X.contains_any(c, needles), F.lit(kind)).otherwise(out)
+    return out
+
+
+def marker_count(c: Column) -> Column:
+    """EXT-33: words that a normative text states requirements by."""
+    return F.regexp_count(X.text_of(c), F.lit(L.flags(L.REQUIREMENT_MARKER)))
+
+
+def head_scores(c: Column) -> Column:
+    """EXT-34: how often a document's head names a specification (tz) and a test programme (pmi); their titles count six times."""
+    text = F.lower(X.text_of(c))
+
+    def score(patterns) -> Column:
+        return F.regexp_count(text, F.lit(L.flags("|".join(patterns)))) + F.when(text.rlike(L.flags(patterns[0])), L.TITLE_BONUS).otherwise(0)
+
+    return F.struct(score(L.TZ_HEAD).alias("tz"), score(L.PMI_HEAD).alias("pmi"))
+
+
+def head_type(scores: Column, least: int = 2) -> Column:
+    """EXT-34: TZ or PMI by the higher score, from `least` on, else OTHER."""
+    tz, pmi = scores["tz"], scores["pmi"]
+    return F.when((tz > pmi) & (tz >= least), "TZ").when((pmi > tz) & (pmi >= least), "PMI").otherwise("OTHER")
+
+
+def role_of_filename(c: Column) -> Column:
+    """EXT-35: the role whose patterns a file name has, if it has those of one role only."""
+    found = F.filter(F.array(*[F.when(F.lower(X.text_of(c)).rlike(L.flags("|".join(f"(?:{p})" for p in ps))), F.lit(r)) for r, ps in L.ROLE_FILENAMES.items()]), lambda x: x.isNotNull())
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
+def heading(c: Column) -> Column:
+    """EXT-36: struct (section_id, title) of a line that is a heading, else null.
+
+    A heading has a section number and up to 8 words, or is a title of up to 4 words (8 in capitals) that names a kind of
+    section; a word that states a requirement makes it a sentence.
+    """
+    text = F.trim(F.regexp_replace(F.trim(X.text_of(c)), r"^\.+|\.+$", ""))
+    number, title = (F.regexp_extract(text, "(?U)" + L.HEADING_NUMBER, g) for g in (1, 2))
+    n = X.word_count(text)
+    known = F.coalesce(F.when(X.contains_any(text, L.OTHER_TITLES), False), F.when(X.contains_any(text, L.REQUIREMENT_TITLES), True)).isNotNull()
+    bare = (n <= L.BARE_HEADING_WORDS) | ((n <= L.HEADING_WORDS) & text.rlike("(?U)" + L.CAPS_TITLE))
+    numbered = F.when((X.word_count(title) > 0) & (X.word_count(title) <= L.HEADING_WORDS), F.struct(number.alias("section_id"), F.trim(title).alias("title")))
+    plain = F.when(bare & known, F.struct(F.lit("").alias("section_id"), text.alias("title")))
+    return F.when((text != "") & ~text.rlike(L.flags(L.BODY_TRIGGER)), F.when(number != "", numbered).otherwise(plain))
+
+
+def section_kind(section_id: Column, title: Column) -> Column:
+    """MSC-18: req, non_req or unknown."""
+    verdict = section_is_requirement(section_id, title)
+    return F.when(verdict, "req").when(~verdict, "non_req").otherwise("unknown")
+
+
+def is_small_model(name: Column) -> Column:
+    """EXT-41: models that get the compact prompt."""
+    return X.contains_any(name, L.SMALL_MODELS)
+
+
+def is_aspect_noise(c: Column) -> Column:
+    """EXT-40: internal tags, and words that change script before a capital."""
+    return F.lower(X.text_of(c)).isin(*L.ASPECT_NOISE) | X.text_of(c).rlike(L.MIXED_SCRIPT)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from reqlens import lexicon as L
-from reqlens.functions import text as X
+from reqlens.functions import extract as E, text as X
 from reqlens.operators import routing
 
 KEY = ("package_id", "req_id", "target_doc_id")
@@ -23,8 +23,9 @@ class AggregateConfig:
 
 
 def clean_aspects(aspects):
-    """DED-6: without punctuation at the ends, short ones, mixed scripts, repeats (any case) and parts of others."""
-    bare = F.filter(F.transform(aspects, lambda a: F.trim(F.regexp_replace(a, r"(?U)^[\s\p{Punct}]+|[\s\p{Punct}]+$", ""))), lambda a: (F.length(a) >= 3) & ~a.rlike(r"[A-Za-z][а-яё]|[а-яё][A-Za-z]"))
+    """DED-6: without punctuation at the ends, short ones, internal tags, mixed scripts, repeats (any case) and parts of others."""
+    edge = f"(?U)^[{L.ASPECT_EDGE}]+|[{L.ASPECT_EDGE}]+$"
+    bare = F.filter(F.transform(aspects, lambda a: F.regexp_replace(X.text_of(a), edge, "")), lambda a: (F.length(a) >= 3) & ~E.is_aspect_noise(a))
     firsts = X.let(bare, lambda all_: X.let(F.transform(all_, F.lower), lambda low: F.filter(all_, lambda a, i: F.array_position(low, F.lower(a)) == i + 1)))
     return X.let(firsts, lambda all_: F.filter(all_, lambda a: ~F.exists(all_, lambda b: (F.lower(a) != F.lower(b)) & F.contains(F.lower(b), F.lower(a)))))
 
@@ -41,7 +42,7 @@ def aggregate_verdicts(grid: DataFrame, judgments: DataFrame, cfg: AggregateConf
     relaxed = c("req_type").isin(*L.CRITICAL_TYPES)
     medium = F.when(relaxed, F.least(F.lit(cfg.medium_relaxed), F.lit(cfg.medium))).otherwise(cfg.medium)
     j = grid.select(*KEY, "req_type").join(judgments, list(KEY))
-    unjudged = F.exists("actions", lambda a: a.startswith("not_judged")) | (c("label") == "NOT_JUDGED")
+    unjudged = (c("label") == "NOT_JUDGED") & F.exists("actions", lambda a: a.startswith(L.UNJUDGED))
     rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in L.STATUS_RANK.items() for x in kv]), F.when(c("label") == "IRRELEVANT", "MISSING").otherwise(c("label"))), F.lit(0))
     j = j.withColumn("unjudged", unjudged).withColumn("place", F.struct((-rank).alias("r"), (-c("confidence")).alias("c"), "unit_id"))
     sound = ~c("low_confidence") & ~c("grounding_failed")
@@ -69,8 +70,9 @@ def aggregate_verdicts(grid: DataFrame, judgments: DataFrame, cfg: AggregateConf
     status = F.when(off, "MISSING").when(c("n").isNull(), "MISSING").when(all_unjudged, "UNKNOWN").when(downgraded, "PARTIAL").otherwise(F.coalesce("win.label", F.lit("MISSING")))
     empty = F.when(c("level") == "OPTIONAL", "OPTIONAL_NOT_FOUND").otherwise("MISSING_NO_EVIDENCE")
     subcode = (
-        F.when(c("applicability") == "OUT_OF_SCOPE", "OUT_OF_SCOPE").when(off, "NOT_APPLICABLE").when(c("n").isNull(), empty).when(all_unjudged, "NOT_JUDGED")
+        F.when(c("applicability") == "OUT_OF_SCOPE", "OUT_OF_SCOPE").when(off, "NOT_APPLICABLE").when(c("n").isNull(), empty).when(all_unjudged, "UNKNOWN_LLM_UNAVAILABLE")
         .when(downgraded, "PARTIAL_DOWNGRADED_FROM_COVERED").when(c("win").isNull(), F.coalesce("last.rejected", empty))
+        .when(c("win.label") == "CONFLICT", "CONFLICT_VERIFIED").otherwise(c("win.label"))
     )
     out = out.withColumn("status", status).withColumn("subcode", subcode)
     seen = F.when(c("level") == "OPTIONAL", F.when(c("status") == "MISSING", "COVERED").otherwise(c("status"))).otherwise(c("status"))

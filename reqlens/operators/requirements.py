@@ -50,14 +50,19 @@ def from_fragments(rows: DataFrame) -> DataFrame:
     return with_features(unique_ids(kept, F.concat_ws("::", "doc_id", F.coalesce(F.nullif(F.col("fragment_id"), F.lit("")), F.col("pos").cast("string")))))
 
 
-def from_sections(fragments: DataFrame) -> DataFrame:
-    """REQ-4: sentences of five words in sections that are, or may be, about requirements."""
+def section_sentences(fragments: DataFrame) -> DataFrame:
+    """Sentences of five words of each section's text, with the section's relevance (null: unknown), place and title."""
     texts = fragments.groupBy(*KEYS, "section_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n").alias("body"), F.min_by("section_title", "pos").alias("section_title"), F.min("pos").alias("pos")
     )
     relevant = E.section_is_requirement(F.col("section_id"), F.col("section_title"))
     each = texts.withColumn("relevant", relevant).select(*KEYS, "section_id", "section_title", "relevant", "pos", F.posexplode(X.sentences(F.col("body"))).alias("i", "text"))
-    each = each.where(X.word_count(F.col("text")) >= 5).withColumn("m", E.modality(F.col("text")))
+    return each.where(X.word_count(F.col("text")) >= 5)
+
+
+def from_sections(fragments: DataFrame) -> DataFrame:
+    """REQ-4: sentences of five words in sections that are, or may be, about requirements."""
+    each = section_sentences(fragments).withColumn("m", E.modality(F.col("text")))
     trigger = F.col("text").rlike(L.flags(L.any_of(L.REQUIREMENT_TRIGGERS)))
     kept = each.where(F.when(F.col("relevant"), trigger | (F.col("m") != "unknown")).when(F.col("relevant").isNull(), F.col("m").isin("must", "must_not", "should")).otherwise(False))
     named = kept.withColumn("pos", F.col("pos") * 100000 + F.col("i"))
@@ -74,7 +79,7 @@ def with_boost(primary: DataFrame, sections: DataFrame) -> DataFrame:
 
 def diagnostics(fragments: DataFrame, requirements: DataFrame) -> DataFrame:
     """REQ-7, EXT-33: modal markers in a document against requirements extracted; low when markers >= 10 and fewer than a quarter became one."""
-    markers = F.size(X.matches(F.col("text"), L.flags(L.NORMATIVE_MODAL)))
+    markers = E.marker_count(F.col("text"))
     seen = fragments.groupBy(*KEYS).agg(F.sum(markers).alias("markers"))
     made = requirements.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("extracted"))
     out = seen.join(made, list(KEYS), "left").withColumn("extracted", F.coalesce("extracted", F.lit(0)))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
+from reqlens import lexicon as L
 from reqlens.functions import extract as E, text as X
 
-ANSWER = "struct<label:string,confidence:double,matched_aspects:array<string>,missing_aspects:array<string>,conflict_aspects:array<string>,cited_phrases:array<string>,explanation:string>"
+ANSWER = f"struct<{E.ANSWER_FIELDS}>"
 LABELS = ("COVERED", "PARTIAL", "CONFLICT", "IRRELEVANT")
 
 
@@ -44,10 +46,28 @@ def parse(rows: DataFrame, raw: str = "raw", evidence: str = "evidence") -> Data
 
 def verdict(c: Column) -> Column:
     """EXT-38: the first known verdict word of an answer, else MISSING."""
-    word = F.regexp_extract(F.upper(X.text_of(c)), r"(COVERED|PARTIAL|CONFLICT|MISSING)", 1)
+    word = F.regexp_extract(F.upper(X.text_of(c)), "(?U)" + L.any_of(L.VERDICTS), 1)
     return F.when(word != "", word).otherwise("MISSING")
 
 
+def parse_batch(rows: DataFrame, raw: str = "raw", expected: str = "expected") -> DataFrame:
+    """JDG-8: one row for each answer of a batch: the columns of rows, `index` and `answer`.
+
+    The batch is an array, or an object that holds one as results, result, verdicts, items or data. An answer without a
+    valid index has that of its place; of several with one index the first counts; those past `expected` go.
+    """
+    item = E.ANSWER_ITEM
+    wrapped = ", ".join(f"{k}:array<{item}>" for k in ("results", "result", "verdicts", "items", "data"))
+    text = F.trim(X.text_of(F.col(raw)))
+    array = F.from_json(F.when(text.startswith("["), text), f"array<{item}>")
+    inner = E.json_object(F.when(~text.startswith("["), text), f"struct<{wrapped}>")
+    found = F.coalesce(array, inner["results"], inner["result"], inner["verdicts"], inner["items"], inner["data"])
+    each = rows.withColumn("__row", F.monotonically_increasing_id()).select("*", F.posexplode(found).alias("__pos", "answer")).where("answer IS NOT NULL")
+    each = each.withColumn("index", F.when(F.col("answer.index") >= 0, F.col("answer.index")).otherwise(F.col("__pos")))
+    first = F.row_number().over(Window.partitionBy("__row", "index").orderBy("__pos"))
+    return each.where(F.col("index") < F.col(expected)).withColumn("__n", first).where("__n = 1").drop("__n", "__pos", "__row")
+
+
 def retry_after(c: Column) -> Column:
     """EXT-39: seconds that an error message asks to wait, or null."""
     return F.regexp_extract(X.text_of(c), r"(?i)(?:retry|try again)[^0-9]{0,20}([0-9]+(?:\.[0-9]+)?)\s*s", 1).try_cast("double")

@@ -53,22 +53,39 @@ def unit_signals(units: DataFrame) -> DataFrame:
     ).withColumn("unit_boost", F.array_intersect("unit_aspects", boost))
 
 
-def score_pairs(reqs: DataFrame, units: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+#: Units of a package that one task meets: a larger package is dealt out, and its requirements go to each part.
+PART_UNITS = 1000
+
+
+def score_pairs(reqs: DataFrame, units: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), encoder=None, part_units: int = PART_UNITS) -> DataFrame:
     """JOIN-1, SCO-10, FLT-4: every requirement against every unit of its package's targets, above the least score.
 
-    A pair without a common token can still pass by its section and topic, so that an index of tokens would lose rows;
-    the join is on the package, whose size bounds the pairs, and nothing of a text is computed after it.
+    A pair without a common token can still pass by its section and topic, and one that shares only a stop-word by the
+    cosine, so that an index of tokens would lose rows: the join is on the package. Units of a large package are dealt into
+    parts of `part_units`, and a hot package so into many tasks; nothing of a text is computed after the join. encoder: a
+    plug-in whose vectors' cosine takes the place of the bag of words'.
     """
-    pairs = stage(requirement_signals(reqs)).join(stage(unit_signals(units)), "package_id")
+    left, right = requirement_signals(reqs), unit_signals(units)
+    if encoder is not None:
+        from reqlens import plugins
+
+        left = plugins.encoded(left.join(reqs.select("package_id", "req_id", "normalized_text"), ["package_id", "req_id"]), "normalized_text", encoder, "req_vector").drop("normalized_text")
+        right = plugins.encoded(right.join(units.select("package_id", "unit_id", "normalized_text"), ["package_id", "unit_id"]), "normalized_text", encoder, "unit_vector").drop("normalized_text")
+    left, right = stage(left), stage(right)
+    parts = right.groupBy("package_id").agg(F.ceil(F.count(F.lit(1)) / part_units).cast("int").alias("__parts"))
+    right = right.join(parts, "package_id").withColumn("__part", F.pmod(F.xxhash64("unit_id"), F.col("__parts")).cast("int")).drop("__parts")
+    left = left.join(parts, "package_id").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    pairs = left.join(right, ["package_id", "__part"]).drop("__part")
+    cosine = S.bow_cosine(F.col("req_terms"), F.col("unit_terms")) if encoder is None else plugins.similarity(F.col("req_vector"), F.col("unit_vector"))
     topic = S.topic_prior(F.col("role"), F.col("req_type"), F.col("topics"))
     pairs = pairs.withColumns(
         {
-            "lex": S.jaccard(F.col("req_tokens"), F.col("unit_tokens")), "sem": S.bow_cosine(F.col("req_terms"), F.col("unit_terms")), "con": S.constraint_overlap(F.col("req_constraints"), F.col("unit_constraints")),
+            "lex": S.jaccard(F.col("req_tokens"), F.col("unit_tokens")), "sem": cosine, "con": S.constraint_overlap(F.col("req_constraints"), F.col("unit_constraints")),
             "topic": topic, "exact": S.share_of(F.col("req_boost"), F.col("unit_boost")), "penalty": S.noise_penalty(F.col("noise"), F.col("req_type"), F.col("req_aspects"), F.col("unit_aspects")),
         }
     )
     # one row a pair, without texts: the filter on the score must not copy the score's expressions
-    pairs = stage(pairs.withColumn("sec", F.greatest(S.section_prior(F.col("role"), F.col("section_title"), F.col("req_type")), "topic")).drop("req_tokens", "unit_tokens", "req_terms", "unit_terms", "topics", "noise", "req_aspects", "unit_aspects", "req_boost", "unit_boost"))
+    pairs = stage(pairs.withColumn("sec", F.greatest(S.section_prior(F.col("role"), F.col("section_title"), F.col("req_type")), "topic")).drop("req_tokens", "unit_tokens", "req_terms", "unit_terms", "topics", "noise", "req_aspects", "unit_aspects", "req_boost", "unit_boost", "req_vector", "unit_vector"))
     scored = pairs.withColumn("raw", hybrid(F.col("lex"), F.col("sem"), F.col("con"), F.col("sec"), F.col("exact"), F.col("topic"), F.col("penalty"), cfg)).where(F.col("raw") >= cfg.min_score)
     rounded = {k: F.round(k, 4) for k in ("lex", "sem", "con", "sec")}
     return scored.withColumns(rounded).withColumn("score", F.round("raw", 4)).drop("raw")

@@ -25,7 +25,7 @@ def section_windows(fragments: DataFrame, size: int = L.WINDOW_SIZE, chars: int
     section = F.coalesce(F.nullif(X.text_of(F.col("section_id")), F.lit("")), F.lit("__no_section__"))
     rows = usable_fragments(fragments).withColumn("__sid", section).withColumn("__sc", E.is_self_contained(F.col("text")))
     grouped = rows.groupBy(*KEYS, "doc_role", "__sid").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("text"), "__sc"))).alias("items"), F.min_by("section_title", "pos").alias("section_title"), F.min("pos").alias("first_pos")
+        F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("text"), "__sc"))).alias("items"), F.min_by(F.nullif("section_title", F.lit("")), F.when(X.text_of(F.col("section_title")) != "", F.col("pos"))).alias("section_title"), F.min("pos").alias("first_pos")
     )
     known = fragments.groupBy(*KEYS).agg(F.max((X.text_of(F.col("section_id")) != "") | (X.text_of(F.col("section_title")) != "")).alias("known")).where("known").select(*KEYS)
     grouped = grouped.join(known, list(KEYS))
@@ -48,16 +48,21 @@ def section_windows(fragments: DataFrame, size: int = L.WINDOW_SIZE, chars: int
     )
 
 
-def prefix_dedup(units: DataFrame, order: list[str], keys=KEYS, chars: int = L.DEDUP_CHARS, growth: int = L.DEDUP_GROWTH) -> DataFrame:
+def prefix_dedup(units: DataFrame, order: list, keys=KEYS, chars: int = L.DEDUP_CHARS, growth: int = L.DEDUP_GROWTH) -> DataFrame:
     """DED-3: of units with the same first 400 normalised characters the first stays, and later ones with a new signal or real growth.
 
-    What dropped units held counts as seen. Rows of a document with one prefix are compared, in order, with all before.
+    What dropped units held counts as seen. Rows of a document with one prefix are compared, in order, with all before: the
+    longest by a running maximum, the signals by the place of the first row that has each (one row a signal and prefix).
     """
     rows = units.withColumn("normalized_text", X.normalize(F.col("text"))).withColumn("__prefix", F.substring("normalized_text", 1, chars)).withColumn("__signals", E.coverage_signals(F.col("text")))
-    before = Window.partitionBy(*keys, "__prefix").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__longest", F.max(F.length("normalized_text")).over(before)).withColumn("__known", F.array_distinct(F.flatten(F.collect_list("__signals").over(before))))
-    keep = F.col("__longest").isNull() | (F.size(F.array_except("__signals", "__known")) > 0) | (F.length("normalized_text") > F.col("__longest") + growth)
-    return rows.where(keep).drop("__prefix", "__signals", "__longest", "__known")
+    rows = rows.withColumn("__at", F.struct(*order))
+    group = [F.col(k) for k in keys]
+    firsts = rows.where(F.size("__signals") > 0).select(*group, "__prefix", "__at", F.explode("__signals").alias("s")).groupBy(*keys, "__prefix", "s").agg(F.min("__at").alias("at"))
+    firsts = firsts.groupBy(*keys, "__prefix").agg(F.collect_set("at").alias("__news"))  # as many as there are signals in the lexicon
+    before = Window.partitionBy(*keys, "__prefix").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__longest", F.max(F.length("normalized_text")).over(before)).join(firsts, [*keys, "__prefix"], "left")
+    keep = F.col("__longest").isNull() | F.coalesce(F.array_contains("__news", F.col("__at")), F.lit(False)) | (F.length("normalized_text") > F.col("__longest") + growth)
+    return rows.where(keep).drop("__prefix", "__signals", "__longest", "__at", "__news")
 
 
 def build_units(fragments: DataFrame) -> DataFrame:
@@ -66,6 +71,6 @@ def build_units(fragments: DataFrame) -> DataFrame:
         *KEYS, "doc_role", "section_id", "fragment_id", E.unit_type(F.col("kind")).alias("unit_type"), F.trim("text").alias("text"), "section_title", F.col("pos").alias("first_pos"), F.lit(None).cast("int").alias("window_start"), F.lit(None).cast("int").alias("window_size"), F.lit(0).alias("layer")
     )
     units = single.unionByName(section_windows(fragments).withColumn("layer", F.lit(1)))
-    kept = prefix_dedup(units, ["layer", "first_pos", F.coalesce("window_start", F.lit(0))])
+    kept = prefix_dedup(units, ["layer", "first_pos", F.coalesce("window_start", F.lit(0)).alias("start")])
     identity = F.sha2(F.concat_ws("\u001f", "package_id", "doc_id", F.coalesce("fragment_id", F.lit("")), F.col("first_pos").cast("string"), "unit_type"), 256)
     return kept.withColumns({"unit_id": identity, "entities": E.entities(F.col("text")), "constraints": E.constraints(F.col("text"))})

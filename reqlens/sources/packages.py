@@ -27,16 +27,19 @@ def read_legacy(spark: SparkSession, path: str) -> DataFrame:
 def documents(requests: DataFrame) -> DataFrame:
     """FLT-1, FLT-2: one row a document, with role tz, pmi, pz or unknown; of several source documents the last one counts.
 
-    A target with the id of its package's source is left out.
+    A target with the id of its package's source is left out; where neither has an id, one with its file name and role.
     """
     rows = requests.select("package_id", F.coalesce("source_doc_role", F.lit("tz")).alias("source_role"), F.coalesce("target_doc_roles", F.array(F.lit("pmi"), F.lit("pz"))).alias("target_roles"), F.posexplode("documents").alias("doc_pos", "d"))
     role = F.lower(F.trim("d.doc_role"))
     rows = rows.select("package_id", "source_role", "target_roles", "doc_pos", F.col("d.document_id").alias("doc_id"), F.when(role.isin("tz", "pmi", "pz"), role).otherwise("unknown").alias("doc_role"), F.col("d.prepared_artifact").alias("a"))
-    source = rows.where("doc_role = source_role").groupBy("package_id").agg(F.max_by("doc_id", "doc_pos").alias("source_id"), F.max("doc_pos").alias("source_pos"))
+    source = rows.where("doc_role = source_role").groupBy("package_id").agg(F.max_by("doc_id", "doc_pos").alias("source_id"), F.max_by("a", "doc_pos").alias("source_a"), F.max("doc_pos").alias("source_pos"))
     rows = rows.join(source, "package_id", "left")
     is_source = F.col("doc_pos") == F.col("source_pos")
-    is_target = F.array_contains("target_roles", F.col("doc_role")) & (F.col("doc_role") != F.col("source_role")) & ~F.coalesce(F.col("doc_id") == F.col("source_id"), F.lit(False))
-    return rows.withColumn("side", F.when(is_source, "source").when(is_target, "target")).where("side IS NOT NULL").drop("source_id", "source_pos", "target_roles", "source_role")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    named = (text("a.filename") != "") & (text("a.filename") == text("source_a.filename")) & (F.lower(text("a.doc_role")) == F.lower(text("source_a.doc_role")))
+    same = ((text("doc_id") != "") & (text("doc_id") == text("source_id"))) | ((text("doc_id") == "") & (text("source_id") == "") & named)
+    is_target = F.array_contains("target_roles", F.col("doc_role")) & (F.col("doc_role") != F.col("source_role")) & ~same
+    return rows.withColumn("side", F.when(is_source, "source").when(is_target, "target")).where("side IS NOT NULL").drop("source_id", "source_a", "source_pos", "target_roles", "source_role")
 
 
 def fragments(docs: DataFrame) -> DataFrame:

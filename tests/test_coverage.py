@@ -61,7 +61,7 @@ def test_aggregate_gates(spark):
     assert verdicts(spark, [("CONFLICT", 0.75, *ok), ("COVERED", 0.9, *ok)])["status"] == "COVERED"
     mixed = verdicts(spark, [("COVERED", 0.9, *ok), ("PARTIAL", 0.7, 0.5, False, False, [], ["нет журнала"])])
     assert (mixed["status"], mixed["subcode"]) == ("PARTIAL", "PARTIAL_DOWNGRADED_FROM_COVERED")
-    assert verdicts(spark, [("NOT_JUDGED", 0.0, 0.5, False, False, ["not_judged:timeout"], [])])["status"] == "UNKNOWN"
+    assert verdicts(spark, [("NOT_JUDGED", 0.0, 0.5, False, False, ["llm_unavailable:timeout"], [])])["status"] == "UNKNOWN"
     assert verdicts(spark, [], "delivery")["subcode"] == "OUT_OF_SCOPE"
 
 
