@@ -22,6 +22,31 @@ SELECT r.doc_id, r.size, q.source_size, q.target,
 FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source LEFT JOIN b ON r.source IS NOT DISTINCT FROM b.source
 """
 
+#: Every window of 50 words, its least document, and the words that a window with a smaller one covers.
+OP6 = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), CAST([] AS VARCHAR[])) AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM i),
+m AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+d AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM h JOIN m USING (h) WHERE first < doc_id),
+e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM w),
+r AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept, count(*) AS n FROM e ANTI JOIN d USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)
+"""
+
+#: Sets of shingles, one class for equal sets, pairs by common shingles, and the least document that links reach.
+OP8 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), CAST([] AS VARCHAR[])) AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS s FROM w),
+k AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id::VARCHAR ELSE md5(array_to_string(s, chr(10))) END AS c, s FROM s),
+g AS (SELECT c, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM k GROUP BY c),
+t AS (SELECT id, n, unnest(s) AS x FROM g),
+l AS (SELECT a.id AS u, b.id AS v FROM t a JOIN t b ON a.x = b.x AND a.id != b.id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT id, id FROM g UNION SELECT r.a, l.v FROM r JOIN l ON l.u = r.b),
+o AS (SELECT a AS id, min(b) AS least FROM r GROUP BY a)
+SELECT k.doc_id, k.n AS n_shingles, o.least AS component_id FROM k JOIN g USING (c) JOIN o ON o.id = g.id
+"""
+
 OP9 = r"""
 WITH p AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(((page_id % 366) + 366) % 366 AS INTEGER) AS DATE) AS fetched_on,
@@ -59,4 +84,4 @@ o AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": OP2, "op9_url_filters": OP9, "op10_nearest": OP10}
+ORACLES: dict[str, str] = {"op2_mixing": OP2, "op6_substring_dedup": OP6, "op8_ngram_jaccard": OP8, "op9_url_filters": OP9, "op10_nearest": OP10}
