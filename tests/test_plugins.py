@@ -53,7 +53,7 @@ def test_rerank(spark):
 
 
 def test_classifier_path(spark):
-    rows = [("p", "d", 0, "4.1", "Требования", "Система должна обеспечивать: 1) поиск публикаций по автору 2) загрузку файлов на сервер"), ("p", "d", 1, "4.1", "Требования", "Просто длинное описание без всякого долга"), ("p", "d", 2, "4.2", "Требования", "Подп. Дата и прочие реквизиты должны стоять")]
+    rows = [("p", "d", 0, "4.1", "Требования", "Система должна обеспечивать: 1) поиск публикаций по автору 2) загрузку файлов на сервер."), ("p", "d", 1, "4.1", "Требования", "Просто длинное описание без всякого долга."), ("p", "d", 2, "4.2", "Требования", "Подп. Дата и прочие реквизиты должны стоять")]
     source = spark.createDataFrame(rows, "package_id string, doc_id string, pos int, section_id string, section_title string, text string")
     model = lambda: lambda texts: [0.9 if "долж" in t else 0.1 for t in texts]
     got = P.from_model(source, model).orderBy("req_id").collect()
