@@ -61,13 +61,41 @@ def metadata_score(a: Column, b: Column) -> Column:
     return F.when(F.size(shared) > 0, equal / F.size(shared)).otherwise(F.lit(0.0))
 
 
+def sharing(left: DataFrame, right: DataFrame, cfg: TraceConfig = TraceConfig()) -> DataFrame:
+    """(package_id, req_id, test_id) of all pairs that can reach the least score, by an index of what both sides share.
+
+    A pair's keys are its common tokens; where section and metadata alone reach the least score, their tokens and values
+    are keys too. What a pair's score can be at most follows from its count of common tokens and from whether the
+    requirement has a section and metadata at all: the texts of other pairs never meet.
+    """
+    total = cfg.lexical + cfg.section + cfg.metadata + cfg.embedding
+    alone = cfg.section + cfg.metadata >= cfg.min_score * total
+
+    def keyed(side: DataFrame, p: str, *others: Column) -> DataFrame:
+        key = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key"))
+        keys = [F.transform(f"{p}_tokens", key("token"))]
+        if alone:
+            keys += [F.transform(F.array_distinct(f"{p}_section"), key("section")), F.transform(F.map_entries(f"{p}_meta"), lambda e: key("value")(F.to_json(e)))]
+        return side.select("package_id", f"{p}_id", *others, F.explode(F.concat(*keys)).alias("k")).select("*", "k.kind", "k.key").drop("k")
+
+    most = F.when(F.size("req_section") > 0, cfg.section).otherwise(0.0) + F.when(F.size("req_meta") > 0, cfg.metadata).otherwise(0.0)
+    reqs = keyed(left, "req", F.size("req_tokens").alias("n"), most.alias("most"))
+    both = reqs.join(keyed(right, "test"), ["package_id", "kind", "key"]).groupBy("package_id", "req_id", "test_id").agg(F.count_if(F.col("kind") == "token").alias("common"), F.max("n").alias("n"), F.max("most").alias("most"))
+    bound = cfg.lexical * F.col("common") / F.greatest("n", F.lit(1)) + F.col("most")
+    return both.where(bound >= cfg.min_score * total - 1e-9).select("package_id", "req_id", "test_id")  # less what adding up may lose
+
+
 def candidates(requirements: DataFrame, tests: DataFrame, cfg: TraceConfig = TraceConfig(), embedding: Column | None = None) -> DataFrame:
     """JOIN-2, SCO-17 to SCO-20, FLT-4, WIN-6: the top_k tests of each requirement by score, ties in the tests' order.
 
-    Every requirement meets every test of its package, as sections alone can lift a pair over the threshold; the join is
-    on the package, and each side's tokens are made once before it.
+    Pairs come from an index of what they share. With an embedding, or without a least score above 0, any pair can pass:
+    then every requirement meets every test of its package. Ids are distinct in a package.
     """
-    pairs = requirement_side(requirements).join(test_side(tests), "package_id")
+    left, right = requirement_side(requirements), test_side(tests)
+    if embedding is None and cfg.min_score > 0:
+        pairs = left.join(sharing(left, right, cfg), ["package_id", "req_id"]).join(right, ["package_id", "test_id"])
+    else:
+        pairs = left.join(right, "package_id")
     lexical = S.containment(F.col("req_tokens"), F.col("test_tokens"))
     section = F.arrays_overlap("req_section", "test_section").cast("double")
     meta = metadata_score(F.col("req_meta"), F.col("test_meta"))

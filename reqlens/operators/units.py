@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from reqlens import lexicon as L
@@ -20,28 +24,43 @@ def usable_fragments(fragments: DataFrame) -> DataFrame:
 def section_windows(fragments: DataFrame, size: int = L.WINDOW_SIZE, chars: int = L.WINDOW_CHARS) -> DataFrame:
     """UNT-2: consecutive fragments of a section in groups of at most `size`; a second self-contained sentence opens a new group.
 
-    The groups follow from one ordered fold over a section's flags. Documents without any section give none.
+    Where a group opens depends on all groups before it, which no window function says: the rows of each section, sorted
+    by Spark, stream through one pass that holds the open group alone. Documents without any section give none.
     """
-    section = F.coalesce(F.nullif(X.text_of(F.col("section_id")), F.lit("")), F.lit("__no_section__"))
-    rows = usable_fragments(fragments).withColumn("__sid", section).withColumn("__sc", E.is_self_contained(F.col("text")))
-    grouped = rows.groupBy(*KEYS, "doc_role", "__sid").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("text"), "__sc"))).alias("items"), F.min_by(F.nullif("section_title", F.lit("")), F.when(X.text_of(F.col("section_title")) != "", F.col("pos"))).alias("section_title"), F.min("pos").alias("first_pos")
-    )
-    known = fragments.groupBy(*KEYS).agg(F.max((X.text_of(F.col("section_id")) != "") | (X.text_of(F.col("section_title")) != "")).alias("known")).where("known").select(*KEYS)
-    grouped = grouped.join(known, list(KEYS))
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).alias("n"), F.lit(0).alias("sc"), F.array().cast("array<int>").alias("groups"))
-
-    def step(state: Column, item: Column) -> Column:
-        own = item["__sc"].cast("int")
-        close = (state["n"] > 0) & (((own == 1) & (state["sc"] >= 1)) | (state["n"] >= size))
-        group = F.when(close, state["group"] + 1).otherwise(state["group"])
-        return F.struct(group.alias("group"), F.when(close, 1).otherwise(state["n"] + 1).alias("n"), F.when(close, own).otherwise(state["sc"] + own).alias("sc"), F.concat(state["groups"], F.array(group)).alias("groups"))
-
-    folded = grouped.withColumn("groups", F.aggregate("items", start, step, lambda s: s["groups"]))
-    each = folded.select(*KEYS, "doc_role", "__sid", "section_title", "first_pos", F.posexplode(F.arrays_zip("items", "groups")).alias("i", "z"))
-    windows = each.groupBy(*KEYS, "doc_role", "__sid", "section_title", "first_pos", F.col("z.groups").alias("g")).agg(
-        F.min("i").alias("window_start"), F.count(F.lit(1)).cast("int").alias("window_size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("z.items.text").alias("t")))), lambda s: s["t"]), " ").alias("text")
+    named = F.nullif(X.text_of(F.col("section_id")), F.lit(""))
+    title = F.nullif(X.text_of(F.col("section_title")), F.lit(""))
+    section = [*KEYS, "doc_role", "__sid"]
+    rows = usable_fragments(fragments).select(*KEYS, "doc_role", F.coalesce(named, F.lit("__no_section__")).alias("__sid"), "pos", F.trim("text").alias("text"), E.is_self_contained(F.col("text")).alias("__sc"), title.alias("__title"))
+    known = fragments.groupBy(*KEYS).agg(F.max(named.isNotNull() | title.isNotNull()).alias("known")).where("known").select(*KEYS)
+    ordered = Window.partitionBy(*section).orderBy("pos", "text").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.join(known, list(KEYS), "left_semi").select(
+        *section, F.min_by("__title", F.when(F.col("__title").isNotNull(), F.col("pos"))).over(ordered).alias("section_title"), F.min("pos").over(ordered).alias("first_pos"), "text", "__sc", "pos"
     )
+    rows = rows.sortWithinPartitions(*section, "pos", "text").drop("pos")  # the window's own order, so that nothing is sorted again
+    schema = T.StructType([*(rows.schema[c] for c in [*section, "section_title", "first_pos", "text"]), T.StructField("window_start", T.IntegerType()), T.StructField("window_size", T.IntegerType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, texts, own, start = None, [], 0, 0  # the open group: its section, fragments, self-contained ones and first place
+        for batch in batches:
+            out = []
+            for *now, text, alone in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != head or len(texts) >= size or (alone and own):
+                    if texts:
+                        out.append((*head, " ".join(texts), start, len(texts)))
+                    start = start + len(texts) if now == head else 0
+                    head, texts, own = now, [], 0
+                texts.append(text)
+                own += bool(alone)
+            yield _batch(out)
+        if texts:
+            yield _batch([(*head, " ".join(texts), start, len(texts))])
+
+    shape = to_arrow_schema(schema)
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(shape)], schema=shape)
+
+    windows = rows.mapInArrow(fold, schema)
     return windows.select(
         *KEYS, "doc_role", F.when(F.col("__sid") != "__no_section__", F.col("__sid")).alias("section_id"), F.concat_ws("::", "__sid", F.lit("window"), F.col("window_start").cast("string")).alias("fragment_id"),
         F.lit("section_window").alias("unit_type"), X.cut_at_sentence(F.trim("text"), chars).alias("text"), "section_title", "first_pos", "window_start", "window_size",
