@@ -330,8 +330,8 @@ def brute_text(pages, run=html.RUN, min_pages=html.MIN_PAGES):
     return out
 
 
-@pytest.mark.parametrize("limit", [200_000, 60])
-def test_html_against_brute_force(spark, limit):
+@pytest.mark.parametrize("limit, shard_pages", [(200_000, 500), (60, 500), (200_000, 3)])
+def test_html_against_brute_force(spark, limit, shard_pages):
     rng = random.Random(11)
     pool = [prose(rng, rng.choice([2, 7, 8, 9, 20])) for _ in range(12)]
     pages = []
@@ -340,7 +340,7 @@ def test_html_against_brute_force(spark, limit):
         pages.append((i, f"h{i % 3}.example", blocks))
     pages += [(100 + i, "h0.example", pages[0][2]) for i in range(4)]
     rows = [(i, f"http://{h}/{i}", "".join(f"<p>{b}</p>" for b in blocks)) for i, h, blocks in pages]
-    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_tokens=limit).collect()}
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_tokens=limit, shard_pages=shard_pages).collect()}
     want = brute_text(pages)
     assert got == want and any(got[i] != "\n".join(b) for i, _, b in pages)
 
