@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reqlens import lexicon as L
 from reqlens.functions import score as S, text as X
+from reqlens.lineage import once_each
 
 
 def topics(c: Column) -> Column:
@@ -13,14 +14,21 @@ def topics(c: Column) -> Column:
     return F.filter(F.array(*[F.when(X.text_of(c).rlike(L.flags(p)), F.lit(t)) for t, p in L.TOPICS]), lambda x: x.isNotNull())
 
 
-def tech_family(a: Column, b: Column) -> Column:
-    """EXT-25: the first family of which both texts name a member."""
-    return F.coalesce(*[F.when(X.contains_any(a, probes) & X.contains_any(b, probes), F.lit(name)) for name, probes in L.TECH_FAMILIES.items()])
+def _named(hits: dict[str, Column]) -> Column:
+    """Names of the conditions that hold."""
+    return F.filter(F.array(*[F.when(hit, F.lit(name)) for name, hit in hits.items()]), lambda x: x.isNotNull())
+
+
+def tech_families(c: Column) -> Column:
+    """EXT-25: families of which a text names a member."""
+    return _named({name: X.contains_any(c, probes) for name, probes in L.TECH_FAMILIES.items()})
 
 
 def entity_overlap(a: Column, b: Column) -> Column:
     """SCO-16: Jaccard of entities as sets of lower-case words."""
-    bags = lambda x: F.array_distinct(F.transform(x, lambda e: F.array_join(F.array_sort(F.array_distinct(F.split(F.lower(e), r"(?U)\s+"))), " ")))
+    # most entities are one word, which is its own bag
+    bag = lambda e: F.when(e.rlike(r"(?U)\s"), F.array_join(F.array_sort(F.array_distinct(F.split(e, r"(?U)\s+"))), " ")).otherwise(e)
+    bags = lambda x: F.array_distinct(F.transform(x, lambda e: bag(F.lower(e))))
     return S.jaccard(bags(a), bags(b))
 
 
@@ -29,13 +37,19 @@ def prohibits(normalized: Column) -> Column:
     return X.text_of(normalized).rlike(L.flags(L.PROHIBITION + f"(?!{L.BOUND_FOLLOWS})"))
 
 
+def text_signals(text: Column, normalized: Column) -> Column:
+    """What the rules read off one text: bad and good outcomes, bound, prohibition, methodology, technologies, topics."""
+    hit = lambda p: X.text_of(text).rlike(L.flags(p))
+    outcomes = lambda at: _named({str(i): hit(pair[at]) for i, pair in enumerate(L.SAME_OUTCOMES)})
+    return F.struct(
+        outcomes(0).alias("bad"), outcomes(1).alias("good"), hit(L.UPPER_BOUND_PROHIBITION).alias("bound"), prohibits(normalized).alias("prohibits"),
+        hit(L.METHODOLOGY).alias("method"), tech_families(normalized).alias("tech"), topics(text).alias("topics"),
+    )
+
+
 def same_outcome(a: Column, b: Column) -> Column:
-    """One side prohibits a bad outcome, the other states the good one."""
-    hit = lambda c, p: X.text_of(c).rlike(L.flags(p))
-    out = F.lit(False)
-    for bad, good in L.SAME_OUTCOMES:
-        out = out | (hit(a, bad) & hit(b, good)) | (hit(b, bad) & hit(a, good))
-    return out
+    """One side (signals of both) prohibits a bad outcome, the other states the good one."""
+    return F.arrays_overlap(a["bad"], b["good"]) | F.arrays_overlap(b["bad"], a["good"])
 
 
 def topic_mismatch(a: Column, b: Column) -> Column:
@@ -48,19 +62,20 @@ def verify(pairs: DataFrame, outcome_similarity: Column | None = None, outcome_f
     """VER-0 to VER-11: adds adjusted label, actions; changes confidence and missing_aspects.
 
     pairs: label, confidence, missing_aspects, role, req_type, and for both sides (req_, unit_) text, norm, tokens,
-    entities, constraints. Signals are made in one projection, the rules are one chain over them. outcome_similarity is an
-    optional similarity of the two texts (a model's) that marks equal outcomes from `outcome_from` on.
+    entities, constraints; they are read more than once, so stage them. What depends on one text only is found once for
+    each distinct text; signals of a pair are made in one projection, the rules are one chain over them.
+    outcome_similarity is an optional similarity of the two texts (a model's) that marks equal outcomes from `outcome_from` on.
     """
     c = F.col
     tokens = F.array_intersect("req_tokens", "unit_tokens")
-    hit = lambda x, p: X.text_of(c(x)).rlike(L.flags(p))
-    p = pairs.withColumns(
+    req, unit = c("__req"), c("__unit")
+    p = once_each(pairs, {"__req": ["req_text", "req_norm"], "__unit": ["unit_text", "unit_norm"]}, text_signals).withColumns(
         {
             "__lex": S.jaccard(c("req_tokens"), c("unit_tokens")), "__ent": entity_overlap(c("req_entities"), c("unit_entities")), "__shared": F.size(tokens),
             "__anchor": F.exists(tokens, lambda t: (F.length(t) >= 5) & ~F.array_contains(X.strings(L.ANCHOR_STOP), t)), "__kinds": F.size(S.shared_kinds(c("req_constraints"), c("unit_constraints"))) > 0,
-            "__num": S.numeric_conflict(c("req_constraints"), c("unit_constraints")), "__outcome": same_outcome(c("req_text"), c("unit_text")), "__bound": hit("req_text", L.UPPER_BOUND_PROHIBITION) & hit("unit_text", L.UPPER_BOUND_PROHIBITION),
-            "__model": F.lit(False) if outcome_similarity is None else F.coalesce(outcome_similarity >= outcome_from, F.lit(False)), "__neg": prohibits(c("req_norm")) != prohibits(c("unit_norm")),
-            "__method": hit("unit_text", L.METHODOLOGY), "__tech": tech_family(c("req_norm"), c("unit_norm")).isNotNull(), "__topic": topic_mismatch(topics(c("req_text")), topics(c("unit_text"))),
+            "__num": S.numeric_conflict(c("req_constraints"), c("unit_constraints")), "__outcome": same_outcome(req, unit), "__bound": req["bound"] & unit["bound"],
+            "__model": F.lit(False) if outcome_similarity is None else F.coalesce(outcome_similarity >= outcome_from, F.lit(False)), "__neg": req["prohibits"] != unit["prohibits"],
+            "__method": unit["method"], "__tech": F.arrays_overlap(req["tech"], unit["tech"]), "__topic": topic_mismatch(req["topics"], unit["topics"]),
         }
     )
     label, conf, pmi = c("label"), c("confidence"), F.lower("role") == "pmi"

@@ -46,6 +46,12 @@ def orders(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.md5(F.col("o_orderkey").cast("string")).alias("h"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a file that is one partition or a few, dealt out to all cores: what is done to a row costs far more than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 ORDERS_SQL = "(SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS h FROM orders)"
 NONE = "CAST([] AS VARCHAR[])"
 
@@ -167,7 +173,7 @@ def verify_rules(spark, sf_dir):
     side = lambda a, b: F.concat_ws(". ", pick(texts, digit(a, 2) % _N), pick(texts, digit(b, 2) % _N))
     tokens = lambda c: F.transform(c, lambda x: F.when(digit(13) < 8, F.concat(x, F.lit("token"))).otherwise(x))
     one = lambda cond, k, v: F.when(cond, F.array(F.struct(pick(KINDS, k % 4).alias("kind"), F.lit("<=").alias("operator"), (10 + 10 * (v % 2)).cast("double").alias("value"), F.lit("sec").alias("unit")))).otherwise(F.array().cast(E.CONSTRAINTS))
-    rows = orders(spark, sf_dir).select(
+    rows = dealt(orders(spark, sf_dir)).select(
         "o_orderkey", side(1, 3).alias("req_text"), side(5, 7).alias("unit_text"), pick(LABELS, digit(9) % 4).alias("label"), pick(CONFIDENCES, digit(10) % 8).alias("confidence"), F.when(digit(11) < 8, "pmi").otherwise("pz").alias("role"),
         pick(TYPES, digit(12) % 8).alias("req_type"), tokens(chars(14, 5)).alias("req_tokens"), tokens(chars(pick([14, 17, 25], digit(30) % 3), 5)).alias("unit_tokens"), chars(20, digit(31) % 5).alias("req_entities"), chars(21, digit(32) % 5).alias("unit_entities"),
         one(digit(25) < 8, digit(26), digit(27)).alias("req_constraints"), one(digit(28) < 8, digit(29), digit(30)).alias("unit_constraints"), X.strings([]).alias("missing_aspects"),
