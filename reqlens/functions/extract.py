@@ -321,8 +321,7 @@ def heading(c: Column) -> Column:
 
 def section_kind(section_id: Column, title: Column) -> Column:
     """MSC-18: req, non_req or unknown."""
-    verdict = section_is_requirement(section_id, title)
-    return F.when(verdict, "req").when(~verdict, "non_req").otherwise("unknown")
+    return X.let(section_is_requirement(section_id, title), lambda yes: F.when(yes, "req").when(~yes, "non_req").otherwise("unknown"))
 
 
 def is_small_model(name: Column) -> Column:

@@ -26,6 +26,12 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a file that is one partition or a few, dealt out to all cores: what is done to a row costs far more than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def once_each(df: DataFrame, sides: dict[str, list[str]], make, few: int = FEW_KEYS, few_bytes: int = FEW_BYTES) -> DataFrame:
     """df with make(*columns) as a new column for each of `sides` (name of the new column: the text columns it depends on).
 
@@ -40,7 +46,7 @@ def once_each(df: DataFrame, sides: dict[str, list[str]], make, few: int = FEW_K
     n, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
     if n > few or total > few_bytes:
         return df.withColumns({name: make(*map(F.col, columns)) for name, columns in sides.items()})
-    table = stage(keys.select(*names, make(*map(F.col, names)).alias("__made")))
+    table = stage(dealt(keys).select(*names, make(*map(F.col, names)).alias("__made")))
     for name, columns in sides.items():
         own = table.select(*[F.col(k).alias(f"{k}_{name}") for k in names], F.col("__made").alias(name))
         same: Column = F.lit(True)

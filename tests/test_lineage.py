@@ -52,3 +52,22 @@ def test_entities_as_bags_of_words(spark):
     a, b = F.col("a"), F.col("b")
     got = row.select(verify.entity_overlap(a, b), S.jaccard(old(a), old(b))).first()
     assert got[0] == got[1] > 0
+
+
+def test_features_are_made_for_texts_not_for_rows(spark, tmp_path):
+    import __spark_entry__ as entry
+    from reqlens import probes
+
+    spark.createDataFrame([(i, i % 3 + 1) for i in range(200)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    out = entry.QUERIES["sentence_features"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "RLIKE" not in plan and "regexp" not in plan
+    rows = {r["p_partkey"]: r.asDict() for r in out.collect()}
+    assert len(rows) == 200
+    own = probes.features(F.col("text"))
+    names = ("modality", "subject", "kind", "title", "head_type", "entities")
+    direct = probes.sentences(spark, str(tmp_path)).select("p_partkey", *[own[k].alias(k) for k in names], own["con"].alias("c")).collect()
+    for r in direct:
+        got = rows[r["p_partkey"]]
+        assert all(got[k] == r[k] for k in names)
+        assert got["con_value"] == (r["c"]["value"] if r["c"] else None)
