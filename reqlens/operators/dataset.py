@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from reqlens import lexicon as L
 from reqlens.functions import extract as E, text as X
+from reqlens.lineage import stage
 from reqlens.sources.packages import CANDIDATE, FRAGMENT, LEGACY, SECTION
 
 SECTION_FILE = "array<struct<sectionId:string,num:string,title:string,text:string>>"
@@ -123,23 +124,51 @@ def label_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(squeezed(c)), "(?U)[\\s.,;:!?\\-–—«»\"']+$", "")
 
 
-def fuzzy_matches(rows: DataFrame, others: DataFrame, id_col: str, least: float = 0.85) -> DataFrame:
-    """JOIN-12, SCO-23: ids of rows (id, text) with a text among others (text) of half to twice as many words and token Jaccard from `least` on.
+#: Most frequent tokens of the known texts of which `fuzzy_matches` knows the frequency, and bounds between its classes.
+ORDERED_TOKENS, FREQUENCY_CLASSES = 10_000, (32, 8, 2)
 
-    Prefix filter: with tokens in one fixed order, two sets that are similar enough share a token among the first
-    n - ceil(least * n) + 1 of each, so that the join on these loses nothing; pairs are then verified.
-    """
 
-    def side(df: DataFrame, *keep: str) -> DataFrame:
-        t = F.transform(F.array_sort(F.transform(X.tokens(F.col("text"), L.LEGACY_TOKEN), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["x"])
-        out = df.select(*keep, X.word_count(F.col("text")).alias("w"), t.alias("t")).where(F.size("t") > 0)
-        return out.withColumn("token", F.explode(F.slice("t", F.lit(1), F.size("t") - F.ceil(F.size("t") * least).cast("int") + 1)))
-
-    left, right = side(rows, id_col), side(others).select(F.col("w").alias("ow"), F.col("t").alias("ot"), "token")
+def fuzzy_matches(rows: DataFrame, others: DataFrame, id_col: str, least: float = 0.85, ordered: int = ORDERED_TOKENS) -> DataFrame:
+    """JOIN-12, SCO-23: ids of rows (id, text) with a text among others (text) of half to twice as many words and token Jaccard from `least` on."""
     low = F.greatest(F.lit(1), F.floor(F.col("w") / 2))
     common = F.size(F.array_intersect("t", "ot"))
     near = (F.col("ow") >= low) & (F.col("ow") <= F.col("w") * 2) & (common >= least * (F.size("t") + F.size("ot") - common))
-    return left.join(right, "token").where(near).select(id_col).distinct()
+    return fuzzy_candidates(rows, others, id_col, least, ordered).where(near).select(id_col).distinct()
+
+
+def fuzzy_candidates(rows: DataFrame, others: DataFrame, id_col: str, least: float, ordered: int = ORDERED_TOKENS) -> DataFrame:
+    """Pairs that `fuzzy_matches` verifies, with words (w, ow) and tokens (t, ot) of both; a pair may come several times.
+
+    Prefix filter: with tokens in one fixed order, two sets that are similar enough share a token among the first
+    n - ceil(least * n) + 1 of each, so that the join on these loses nothing; pairs are then verified. In the order, tokens
+    that no other text has come first and meet nothing, frequent ones come last and seldom are in a prefix; of the tokens
+    of `others` the `ordered` most frequent are known, and with more of them the rest count as rare. Rows of more or fewer
+    words or tokens than any other text allows are not compared.
+    """
+    tokens = lambda c: X.tokens(c, L.LEGACY_TOKEN)
+    theirs = stage(others.select("text").distinct().select(X.word_count(F.col("text")).alias("ow"), tokens(F.col("text")).alias("ot")).where(F.size("ot") > 0))
+    known = theirs.select(F.explode("ot").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "x").limit(ordered + 1).collect()
+    whole, known = len(known) <= ordered, known[:ordered]
+    least_w, most_w, least_n, most_n = theirs.agg(F.min("ow"), F.max("ow"), F.min(F.size("ot")), F.max(F.size("ot"))).first()
+    bounds = [float("inf"), *FREQUENCY_CLASSES, 0]
+    classes = [[r["x"] for r in known if low < r["n"] <= high] for high, low in zip(bounds, bounds[1:])]
+
+    # as SQL text, since a call for each token would take longer than the join; tokens hold letters, digits and _ only
+    sets = ["', '".join(words) for words in classes]
+    place = "CASE " + " ".join(f"WHEN x IN ('{words}') THEN {len(sets) - i}" for i, words in enumerate(sets) if words) + " ELSE 0 END" if known else "0"
+
+    def prefix(t: str) -> Column:
+        placed = F.sort_array(F.expr(f"transform({t}, x -> named_struct('p', {place}, 'h', xxhash64(x), 'x', x))"))
+        first = F.slice(placed, F.lit(1), F.size(t) - F.ceil(F.size(t) * least).cast("int") + 1)
+        return F.transform(F.filter(first, lambda s: s["p"] > 0) if whole else first, lambda s: s["x"])
+
+    near_size = (F.col("w") * 2 >= least_w) & (F.greatest(F.lit(1), F.floor(F.col("w") / 2)) <= most_w)
+    left = rows.select(id_col, "text", X.word_count(F.col("text")).alias("w")).select(id_col, "w", F.when(near_size, tokens(F.col("text"))).alias("t"))
+    comparable = (F.size("t") > 0) & (F.size("t") >= least * least_n) & (most_n >= least * F.size("t"))
+    # outer: for an inner one Spark would make the tokens a second time, to filter rows without any
+    left = left.select(id_col, "w", "t", F.explode_outer(F.when(comparable, prefix("t"))).alias("token"))
+    right = theirs.withColumn("token", F.explode(prefix("ot")))
+    return left.join(right, "token")
 
 
 def label_sentences(sentences: DataFrame, positives: DataFrame, least: float = 0.85) -> DataFrame:

@@ -90,3 +90,32 @@ def test_sources_and_sinks(spark, tmp_path):
     report.write_sheets(str(tmp_path / "sheets"), a=pairs.select("label"), b=pairs.select("pkg_id"))
     assert spark.read.csv(str(tmp_path / "sheets" / "a"), header=True).count() == 2
     assert report.markdown_table(spark.createDataFrame([("a|b", 0.5, None)], "x string, y double, z string")) == "| x | y | z |\n| --- | --- | --- |\n| a\\|b | 0.500 |  |"
+
+
+def test_fuzzy_matches_against_all_pairs(spark):
+    """Every order of tokens gives the rows of all pairs, and frequent tokens make no candidates."""
+    import random
+    import re
+
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    known = [" ".join(["the", "of", *draw.sample(words, draw.randint(1, 12))]) for _ in range(60)] + ["", "--", "one"]
+    texts = [*(" ".join([w if draw.random() < 0.85 else draw.choice(["new", "x", *words]) for w in k.split()]) for k in known for _ in range(4)), "the of " * 30, "", "...", "One", "one one one"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    others = spark.createDataFrame([(k,) for k in [*known, known[0], None]], "text string")
+    sets = lambda t: set(re.findall(r"[A-Za-zА-Яа-яЁё0-9]+", t.lower()))
+    for least in (0.6, 0.85):
+        want = set()
+        for i, a in enumerate(texts):
+            for b in known:
+                s, t, w, ow = sets(a), sets(b), len(a.split()), len(b.split())
+                if s and t and max(1, w // 2) <= ow <= 2 * w and len(s & t) >= least * len(s | t):
+                    want.add(i)
+        for ordered in (10_000, 20, 0):
+            out = D.fuzzy_matches(rows, others, "id", least, ordered)
+            assert {r["id"] for r in out.collect()} == want and len(want) > 40
+    # 300 known texts share their two most frequent tokens with every row: none of them is a candidate by these
+    many = spark.createDataFrame([(f"aa bb k{i} l{i}",) for i in range(300)], "text string")
+    apart = spark.createDataFrame([(i, f"aa bb u{i} v{i}") for i in range(300)], "id int, text string")
+    assert D.fuzzy_candidates(apart, many, "id", 0.6).count() == 0
+    assert D.fuzzy_candidates(many.withColumn("id", F.monotonically_increasing_id()), many, "id", 0.6).select("id").distinct().count() == 300
