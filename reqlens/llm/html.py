@@ -1,9 +1,10 @@
-"""Main text of web pages: structure of the markup, and a suffix array over each host's pages for repeated runs.
+"""Main text of web pages: a suffix array over each host's pages for repeated runs, and the structure of the markup.
 
-Structure tells what is certain: what stands in an article or main element, and what is menu, footer, form, script or
-comment by its tag, role or an unmistakable name. What it leaves open, the suffix arrays decide: text of pages without an
-article, and text in an article whose name only hints at boilerplate (share, related, promo, banner, social). Such text
-goes where it belongs to a run of tokens that several pages of the host repeat, and stays where it is unique.
+Blocks of every page, but for an article's own text, stand in the suffix arrays, and runs of tokens that several pages of
+the host repeat go. Structure is looked at after that: it tells what stands in an article or main element, and what is
+menu, footer, form, script or comment by its tag, role or an unmistakable name though no other page repeats it. What it
+leaves open, the suffix arrays alone decide: text of pages without an article, and text in an article whose name only hints
+at boilerplate (share, related, promo, banner, social).
 """
 
 from __future__ import annotations
@@ -156,19 +157,18 @@ def _undecided(blocks: list[tuple[str, str]]) -> bool:
 
 
 def main_text(blocks: list[tuple[str, str]], removed: dict[int, list[tuple[int, int]]] | None = None) -> str:
-    """Blocks of the main element if it has any text, else all that is not chrome; open ones without the removed runs of tokens."""
+    """Blocks without the removed runs of tokens, which only an article's own text keeps; of these the blocks of the main element if it has any text, else all that is not chrome."""
     main = any(zone in ("main", "hint") for _, zone in blocks)
     out = []
     for i, (text, zone) in enumerate(blocks):
-        if zone not in (("main", "hint") if main else ("other",)):
-            continue
         if removed and i in removed and zone != "main":
             words = text.split(" ")
             gone = np.zeros(len(words), bool)
             for start, length in removed[i]:
                 gone[start : start + length] = True
             text = " ".join(w for w, g in zip(words, gone) if not g)
-        if text:
+        # the check by structure: boilerplate that the host does not repeat goes too
+        if text and zone in (("main", "hint") if main else ("other",)):
             out.append(text)
     return "\n".join(out)
 
@@ -229,11 +229,12 @@ def repeats(tokens: np.ndarray, ends: np.ndarray, run: int) -> tuple[np.ndarray,
 
 
 def host_runs(streams: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Runs of `run` tokens (or whole shorter blocks) of each host's pages, with the number of distinct pages in each shard.
+    """Runs of `run` tokens (or whole shorter blocks) that the pages of each host repeat.
 
-    streams: host, deal (host and shard), split (whether the host has several), page, undecided, blocks (of tokens joined
-    by spaces; '' for text that stays in any case). Returns host, gram, n_pages, and for the undecided pages places (page,
-    block, start, length): a place is as long as the run is on all its pages of the shard, if these are enough.
+    streams: host, deal (host and shard), split (whether the host has several), page, blocks (of tokens joined by spaces;
+    '' for text that stays in any case). Returns rows of two kinds: places (page, block, start, length) of runs that stand on
+    `min_pages` distinct pages of the shard alone, overlapping ones as one, with gram null and a row for each page; and for
+    hosts of several shards gram, n_pages in the shard, and where these are too few, the places that the sum decides.
     """
     schema = "host string, gram long, n_pages long, places array<struct<page: long, block: int, start: int, length: int>>"
 
@@ -254,7 +255,7 @@ def host_runs(streams: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) ->
                 real.append(len(words))
                 row.append(r)
                 block.append(b)
-        empty = pd.DataFrame({"host": [], "gram": [], "n_pages": [], "places": []})
+        empty = pd.DataFrame({"host": [], "gram": [], "n_pages": [], "places": []}, dtype=object)
         if not tokens:
             return empty
         sizes, real, row, block = (np.array(x, np.int64) for x in (sizes, real, row, block))
@@ -269,20 +270,37 @@ def host_runs(streams: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) ->
         own = page[row[of[order]]]
         n_pages = np.bincount(np.unique(group * len(page_ids) + own) // len(page_ids), minlength=len(first))
         split = bool(rows["split"].iloc[0])
-        named = gram_hashes(word_hashes(" ".join(w.replace(" ", "\x01") for w in ids).encode("utf-8", "surrogatepass"))[stream], run).view(np.int64)
-        undecided = rows["undecided"].to_numpy().astype(bool)
         bounds = np.concatenate([first, [len(order)]])
+        host, page_of = rows["host"][0], rows["page"].tolist()
         out = []
-        for g in np.flatnonzero((n_pages >= 2) | split).tolist():
-            places = []
-            for at in order[bounds[g] : bounds[g + 1]].tolist():
-                k = of[at]
-                if undecided[row[k]]:
+        # what the shard's pages are enough for: each place as long as the run is on all its pages
+        sure = (n_pages >= min_pages)[group]
+        edges = np.zeros(len(stream) + 1, np.int64)
+        np.add.at(edges, order[sure], 1)
+        np.add.at(edges, order[sure] + np.minimum(length[group[sure]], (begin + sizes)[of[order[sure]]] - order[sure]), -1)
+        covered = np.cumsum(edges[:-1]) > 0
+        new = np.ones(len(stream), bool)
+        new[1:] = (of[1:] != of[:-1]) | ~covered[:-1]
+        starts = np.flatnonzero(covered & new)
+        ends = np.flatnonzero(covered & np.concatenate([new[1:] | ~covered[1:], [True]])) + 1
+        spans: dict[int, list[dict[str, int]]] = {}
+        for at, end in zip(starts.tolist(), ends.tolist()):
+            k = of[at]
+            place = {"start": 0, "length": int(real[k])} if real[k] < run else {"start": int(at - begin[k]), "length": end - at}
+            spans.setdefault(int(row[k]), []).append({"page": page_of[row[k]], "block": int(block[k]), **place})
+        out += [(host, None, None, places) for places in spans.values()]
+        if split:
+            named = gram_hashes(word_hashes(" ".join(w.replace(" ", "\x01") for w in ids).encode("utf-8", "surrogatepass"))[stream], run).view(np.int64)
+            for g in range(len(first)):
+                places = []
+                for at in order[bounds[g] : bounds[g + 1]].tolist() if n_pages[g] < min_pages else ():
+                    k = of[at]
                     whole = real[k] < run
-                    shared = int(length[g]) if n_pages[g] >= min_pages else run
-                    places.append({"page": int(rows["page"][row[k]]), "block": int(block[k]), "start": 0 if whole else int(at - begin[k]), "length": int(real[k]) if whole else shared})
-            out.append((rows["host"][0], int(named[order[first[g]]]), int(n_pages[g]), places))
-        return pd.DataFrame(out, columns=["host", "gram", "n_pages", "places"])
+                    places.append({"page": page_of[row[k]], "block": int(block[k]), "start": 0 if whole else int(at - begin[k]), "length": int(real[k]) if whole else run})
+                out.append((host, int(named[order[first[g]]]), int(n_pages[g]), places))
+        if not out:
+            return empty
+        return pd.DataFrame({"host": [r[0] for r in out], "gram": pd.array([r[1] for r in out], "Int64"), "n_pages": pd.array([r[2] for r in out], "Int64"), "places": [r[3] for r in out]})
 
     return streams.groupBy("deal").applyInPandas(find, schema)
 
@@ -290,17 +308,17 @@ def host_runs(streams: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES) ->
 def extract_main_text(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAGES, shard_tokens: int = SHARD_TOKENS, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """Main text of every page: page_id, url, text ('' if none) and n_chars (code points).
 
-    A page with an article or main element gives the blocks in it that are not menus, headers, footers, sidebars,
-    notices, adverts, forms or comments by their tags, roles, classes or ids; what a class or id only hints at stays
-    unless the host repeats it. In other pages, of all blocks that are not such chrome, what the host repeats goes. The
-    host repeats runs of `run` tokens or more (or whole shorter blocks) that stand on `min_pages` distinct pages: covered
-    words go, unique runs stay. Undecided pages of equal blocks count as one page, so that copies of a page keep their text.
+    Every page takes one way: its blocks, but for an article's own text, stand in the suffix arrays of its host, and what
+    these find repeated goes: runs of `run` tokens or more (or whole shorter blocks) on `min_pages` distinct pages. Then
+    structure is looked at. A page with an article or main element gives the blocks in it that are not menus, headers,
+    footers, sidebars, notices, adverts, forms or comments by their tags, roles, classes or ids; what a class or id only
+    hints at stays unless the host repeats it. Other pages give all blocks that are not such chrome. Undecided pages (of the
+    latter kind, or with such hints) of equal blocks count as one page, so that copies of a page keep their text.
 
     Null and empty html give ''; null URLs form a host of their own; repeated rows and null ids are extracted each; an
     empty table gives no rows; extra columns are not read. The parsed page tells whether it has such an element, not a
-    mention of one in a script, a comment or the page's chrome. All blocks but those that stay in any case, of every page,
-    are in the suffix arrays of their host; a host with more than `shard_tokens` tokens or `shard_pages` pages is dealt
-    out by page, copies of a page being one, and the counts of equal runs are then added up over its shards. Pages that structure decides take a narrow pass.
+    mention of one in a script, a comment or the page's chrome. A host with more than `shard_tokens` tokens or `shard_pages`
+    pages is dealt out by page, copies of a page being one, and the counts of equal runs are then added up over its shards.
     """
     ship(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
@@ -308,46 +326,41 @@ def extract_main_text(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAG
 
     id_type = pages.schema["page_id"].dataType.simpleString()
     schema = f"page_id {id_type}, url string, text string, n_chars long"
-    names = ["page_id", "url", "host", "page", "undecided", "blocks", "stream", "zones", "n"]
-
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            rows = []
-            for html, own in zip(batch.column(3), batch.column(0).to_pylist()):
-                found = blocks_of(html.as_py() or "")
-                undecided = _undecided(found)
-                texts = [t for t, _ in found]
-                same = xxhash.xxh3_64_intdigest("\x1e".join(texts).encode("utf-8", "surrogatepass"))
-                page = same if undecided else xxhash.xxh3_64_intdigest(f"{own}".encode(), seed=1) ^ same
-                # blocks of an undecided page keep their numbers, which are those of main_text
-                stream = ["" if z == "main" else t for t, z in found] if undecided else [t for t, z in found if z != "main"]
-                rows.append((page - (1 << 63), undecided, texts if undecided else [], stream, [z for _, z in found] if undecided else [], sum(t.count(" ") + 1 for t in stream if t)))
-            if rows:
-                kinds = [pa.int64(), pa.bool_(), *[pa.list_(pa.string())] * 3, pa.int64()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
-
-    shape = f"page_id {id_type}, url string, host string, page long, undecided boolean, blocks array<string>, stream array<string>, zones array<string>, n long"
-    parsed = cut(pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(outside, shape).where("undecided OR n > 0"))
-    streams = parsed.where("n > 0").select("host", "page", "undecided", F.col("stream").alias("blocks"), "n").distinct()
+    kinds = {"page": pa.int64(), "stream": pa.list_(pa.string()), "n": pa.int64(), "blocks": pa.list_(pa.string()), "zones": pa.list_(pa.string())}
+
+    def parse(*wanted: str):
+        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import xxhash
+
+            for batch in batches:
+                out: dict[str, list] = {k: [] for k in wanted}
+                for html, own in zip(batch.column(3), batch.column(0).to_pylist()):
+                    found = blocks_of(html.as_py() or "")
+                    texts, zones = [t for t, _ in found], [z for _, z in found]
+                    same = xxhash.xxh3_64_intdigest("\x1e".join(texts).encode("utf-8", "surrogatepass"))
+                    page = same if _undecided(found) else xxhash.xxh3_64_intdigest(f"{own}".encode(), seed=1) ^ same
+                    # blocks keep their numbers, which are those of main_text
+                    stream = ["" if z == "main" else t for t, z in found]
+                    row = {"page": page - (1 << 63), "stream": stream, "n": sum(t.count(" ") + 1 for t in stream if t), "blocks": texts, "zones": zones}
+                    for k in wanted:
+                        out[k].append(row[k])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(out[k], kinds[k]) for k in wanted)], ["page_id", "url", "host", *wanted])
+
+        return rows_of
+
+    source = pages.select("page_id", "url", host.alias("host"), "html")
+    given = f"page_id {id_type}, url string, host string, page long"
+    streams = cut(source.mapInArrow(parse("page", "stream", "n"), f"{given}, stream array<string>, n long").where("n > 0").select("host", "page", F.col("stream").alias("blocks"), "n").distinct())
     shards = streams.groupBy("host").agg(F.ceil(F.greatest(F.sum("n") / shard_tokens, F.count(F.lit(1)) / shard_pages)).cast("int").alias("shards"))
     # dealt by one key of host and shard: by the host beside the shard, Spark would keep all shards of a host in one task
     shard = F.pmod(F.xxhash64("page"), F.col("shards")).cast("string")
-    streams = spread(streams, shards, ["host"]).select("host", "page", "undecided", "blocks", (F.col("shards") > 1).alias("split"), F.concat_ws("\x01", "host", shard).alias("deal"))
+    streams = spread(streams, shards, ["host"]).select("host", "page", "blocks", (F.col("shards") > 1).alias("split"), F.concat_ws("\x01", "host", shard).alias("deal"))
     runs = cut(host_runs(streams, run, min_pages))
-    common = runs.groupBy("host", "gram").agg(F.sum("n_pages").alias("n")).where(F.col("n") >= min_pages).select("host", "gram")
-    gone = spread(runs.where(F.size("places") > 0), common, ["host", "gram"]).select("host", F.explode("places").alias("p")).select("host", "p.*")
+    common = runs.where("gram IS NOT NULL").groupBy("host", "gram").agg(F.sum("n_pages").alias("n")).where(F.col("n") >= min_pages).select("host", "gram")
+    summed = spread(runs.where("gram IS NOT NULL AND size(places) > 0"), common, ["host", "gram"]).select("host", "places")
+    gone = summed.unionByName(runs.where("gram IS NULL").select("host", "places")).select("host", F.explode("places").alias("p")).select("host", "p.*")
     gone = gone.groupBy("host", "page").agg(F.collect_set(F.struct("block", "start", "length")).alias("removed"))
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [blocks_of(h.as_py() or "") for h in batch.column(2)]
-            here = np.array([not _undecided(b) for b in found], bool)
-            out = [main_text(b) for b, h in zip(found, here) if h]
-            keys = [batch.column(i).filter(pa.array(here)) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -358,6 +371,5 @@ def extract_main_text(pages: DataFrame, run: int = RUN, min_pages: int = MIN_PAG
                 out.append(main_text(list(zip(blocks, zones)), spans))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    decided = pages.mapInArrow(texts, schema)
-    others = spread(parsed.where("undecided"), gone, ["host", "page"], "left").select("page_id", "url", "blocks", "zones", "removed").mapInArrow(cleaned, schema)
-    return decided.unionByName(others)
+    parsed = source.mapInArrow(parse("page", "blocks", "zones"), f"{given}, blocks array<string>, zones array<string>")
+    return spread(parsed, gone, ["host", "page"], "left").select("page_id", "url", "blocks", "zones", "removed").mapInArrow(cleaned, schema)

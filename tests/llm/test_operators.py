@@ -308,6 +308,23 @@ def test_html_hints_are_decided_by_the_host(spark):
     assert got[9] == f"Head 9\nSocial policy {texts[0]}\n{texts[0]}\n{share}"
 
 
+@pytest.mark.parametrize("limit", [200_000, 40])
+def test_html_pages_with_an_article_take_the_suffix_arrays_too(spark, monkeypatch, limit):
+    """The arrays remove the menu that every page of the host repeats; nothing passes beside them, and articles stay whole."""
+    menu = "one two three four five six seven eight nine ten"
+    rows = [(i, f"http://h.example/{i}", f"<body><nav>{menu}</nav><article><p>{menu}</p><p>own {i}</p></article><footer>only here {i}</footer></body>") for i in range(6)]
+    found = []
+    run = html.host_runs
+    monkeypatch.setattr(html, "host_runs", lambda *args: found.append(run(*args)) or found[-1])
+    out = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), shard_tokens=limit)
+    assert {r["page_id"]: r["text"] for r in out.collect()} == {i: f"{menu}\nown {i}" for i in range(6)}
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    places = [p for r in found[0].collect() for p in r["places"]]
+    assert len({p["page"] for p in places}) == 6 and {p["block"] for p in places if p["length"] >= 8} == {0}
+    if limit > 40:  # one shard: overlapping runs are one place
+        assert sorted((p["block"], p["start"], p["length"]) for p in places) == [(0, 0, 10)] * 6
+
+
 def brute_text(pages, run=html.RUN, min_pages=html.MIN_PAGES):
     """Texts of pages without an article: every run of tokens is looked up on every distinct page of the host."""
     out, hosts = {}, {}
