@@ -165,6 +165,9 @@ def fuzzy_candidates(rows: DataFrame, others: DataFrame, id_col: str, least: flo
     near_size = (F.col("w") * 2 >= least_w) & (F.greatest(F.lit(1), F.floor(F.col("w") / 2)) <= most_w)
     left = rows.select(id_col, "text", X.word_count(F.col("text")).alias("w")).select(id_col, "w", F.when(near_size, tokens(F.col("text"))).alias("t"))
     comparable = (F.size("t") > 0) & (F.size("t") >= least * least_n) & (most_n >= least * F.size("t"))
+    if whole and known:  # what is left after this is little, and only that is put in order
+        listed = "', '".join(r["x"] for r in known)
+        comparable = comparable & (F.expr(f"size(filter(t, x -> x IN ('{listed}')))") >= least * F.size("t"))
     # outer: for an inner one Spark would make the tokens a second time, to filter rows without any
     left = left.select(id_col, "w", "t", F.explode_outer(F.when(comparable, prefix("t"))).alias("token"))
     right = theirs.withColumn("token", F.explode(prefix("ot")))
